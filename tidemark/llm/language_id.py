@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 from pyspark.sql.window import Window
 
 from tidemark.llm.common import held_out
@@ -136,3 +137,17 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
     out = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, lang_pred string, score double, rejected boolean")
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "rejected")
+
+
+def accepted(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of docs that are not rejected, with lang set to the prediction; all columns are kept."""
+    held = docs.sparkSession.sparkContext.broadcast(model)
+
+    def predict(texts):
+        import pandas as pd
+
+        found = [held.value.predict(t) for t in texts]
+        return pd.Series([None if f[2] else f[0] for f in found], dtype=object)
+
+    df = docs.withColumn("__lang", F.pandas_udf(predict, StringType())("text")).where(F.col("__lang").isNotNull())
+    return df.select(*[F.col("__lang").alias(c) if c == "lang" else F.col(c) for c in docs.columns])

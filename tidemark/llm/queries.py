@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import exact_dedup, html_text, language_id, line_dedup, packing, preference, quality_rules, sentencepieces, simhash
+from tidemark.llm import exact_dedup, html_text, language_id, line_dedup, packing, preference, quality_rules, sentencepieces, simhash, suffix_dedup
 from tidemark.llm.common import documents
 
 
-def _vocabulary(name: str) -> str:
+def vocabulary(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
@@ -36,11 +36,15 @@ def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(documents(spark, sf_dir), _vocabulary("byte_bpe_50k.json"))
+    return packing.pack(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"))
+
+
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.report(documents(spark, sf_dir))
 
 
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sentencepieces.digests(documents(spark, sf_dir), _vocabulary("piece_bpe_32k.model"))
+    return sentencepieces.digests(documents(spark, sf_dir), vocabulary("piece_bpe_32k.model"))
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,4 +57,4 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality_rules, op2_exact_dedup, op3_simhash, op4_preference_format, op5_html_text, op6_best_fit_packing, op8_sentencepiece, op9_line_dedup, op10_language_id)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_exact_dedup, op3_simhash, op4_preference_format, op5_html_text, op6_best_fit_packing, op7_suffix_dedup, op8_sentencepiece, op9_line_dedup, op10_language_id)}

@@ -172,3 +172,12 @@ def near_duplicates(docs: DataFrame, distance: int = 4, block: int = 8192) -> Da
     return prints.join(named, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.when(F.col("c") < NO_ID, F.col("c")).alias("component_id")
     )
+
+
+def representatives(docs: DataFrame, distance: int = 4, block: int = 8192) -> DataFrame:
+    """One row of docs for each component: the first (in an arbitrary order) of those that have its smallest doc_id; a component without ids keeps all its rows."""
+    found = near_duplicates(docs, distance, block).select("doc_id", "component_id")
+    keep = stored(found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("__keep")).distinct(), "simhash-keep")
+    loose = found.where(F.col("component_id").isNull()).limit(1).count()
+    kept = docs.join(keep, F.col("doc_id").cast("long") == F.col("__keep"), "left_semi")
+    return kept.unionByName(docs.where(F.col("doc_id").isNull())) if loose else kept
