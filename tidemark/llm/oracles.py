@@ -23,7 +23,7 @@ WITH d AS (SELECT doc_id, coalesce(lang, '') AS stratum, coalesce(text, '') AS t
 win AS (SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS k FROM d, unnest(range(1, len(w) - 1)) AS u(i)),
 dup AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, k) AS c FROM win) WHERE c > 1),
 cov AS (SELECT doc_id, count(DISTINCT i + j) AS n FROM dup, unnest([0, 1, 2]) AS v(j) GROUP BY doc_id),
-l AS (SELECT doc_id, list_filter(string_split(t, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d),
+l AS (SELECT doc_id, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d),
 s AS (
   SELECT d.doc_id, stratum, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
     CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
@@ -46,19 +46,19 @@ FROM f LEFT JOIN bad ON f.doc_id = bad.doc_id
 
 
 _TURN = "'<|' || x.role || '|>' || chr(10) || x.text || '<|end|>' || chr(10)"
-_SPANS = """array_to_string(list_filter(list_transform(range(1, len({r}) + 1), i -> CASE WHEN {r}[i].role = 'assistant' THEN
-  (coalesce(list_sum(list_transform({r}[1:i - 1], x -> length({t}))), 0) + 5 + length({r}[i].role))::BIGINT || '-' || list_sum(list_transform({r}[1:i], x -> length({t})))::BIGINT END), y -> y IS NOT NULL), ',')"""
+_SPANS = """array_to_string(list_filter(list_transform(range(1, len({r}) + 1), lambda i: CASE WHEN {r}[i].role = 'assistant' THEN
+  (coalesce(list_sum(list_transform({r}[1:i - 1], lambda x: length({t}))), 0) + 5 + length({r}[i].role))::BIGINT || '-' || list_sum(list_transform({r}[1:i], lambda x: length({t})))::BIGINT END), lambda y: y IS NOT NULL), ',')"""
 OP4 = f"""
 WITH t AS (SELECT conv_id // 2 AS pair_id, conv_id % 2 = 0 AS c, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM (SELECT DISTINCT * FROM conversations) WHERE conv_id IS NOT NULL),
 p AS (
   SELECT pair_id, coalesce(list({{'role': role, 'text': text}} ORDER BY turn, role, text) FILTER (WHERE c), []) AS a,
     coalesce(list({{'role': role, 'text': text}} ORDER BY turn, role, text) FILTER (WHERE NOT c), []) AS b FROM t GROUP BY pair_id),
-n AS (SELECT *, coalesce(nullif(list_position(list_transform(range(1, least(len(a), len(b)) + 1), i -> a[i].role = b[i].role AND a[i].text = b[i].text), false), 0) - 1, least(len(a), len(b))) AS n FROM p),
+n AS (SELECT *, coalesce(nullif(list_position(list_transform(range(1, least(len(a), len(b)) + 1), lambda i: a[i].role = b[i].role AND a[i].text = b[i].text), false), 0) - 1, least(len(a), len(b))) AS n FROM p),
 r AS (SELECT pair_id, n, a, b, a[n + 1:] AS ra, b[n + 1:] AS rb FROM n),
 s AS (
-  SELECT pair_id, n::BIGINT AS n_common, array_to_string(list_transform(a[1:n], x -> {_TURN}), '') AS prompt,
-    CASE WHEN len(a) > 0 THEN array_to_string(list_transform(ra, x -> {_TURN}), '') END AS chosen, CASE WHEN len(a) > 0 THEN {_SPANS.format(r='ra', t=_TURN)} END AS chosen_spans,
-    CASE WHEN len(b) > 0 THEN array_to_string(list_transform(rb, x -> {_TURN}), '') END AS rejected, CASE WHEN len(b) > 0 THEN {_SPANS.format(r='rb', t=_TURN)} END AS rejected_spans
+  SELECT pair_id, n::BIGINT AS n_common, array_to_string(list_transform(a[1:n], lambda x: {_TURN}), '') AS prompt,
+    CASE WHEN len(a) > 0 THEN array_to_string(list_transform(ra, lambda x: {_TURN}), '') END AS chosen, CASE WHEN len(a) > 0 THEN {_SPANS.format(r='ra', t=_TURN)} END AS chosen_spans,
+    CASE WHEN len(b) > 0 THEN array_to_string(list_transform(rb, lambda x: {_TURN}), '') END AS rejected, CASE WHEN len(b) > 0 THEN {_SPANS.format(r='rb', t=_TURN)} END AS rejected_spans
   FROM r)
 SELECT *, coalesce(chosen_spans <> '' AND rejected_spans <> '', false) AS usable FROM s
 """

@@ -25,7 +25,7 @@ through removed() untouched.  Removal may cut a character; removed() then drops
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -399,9 +399,9 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> Dat
     return spans.groupBy("doc_id", "uid").agg(F.collect_set(F.struct("first", "last")).alias("spans"))
 
 
-def holes(spans: list[dict] | None, length: int) -> list[tuple[int, int]]:
+def holes(spans: Sequence[dict] | None, length: int) -> list[tuple[int, int]]:
     """Maximal removed runs of bytes (start, end), from spans of window starts."""
-    return [(a, b + 1) for a, b in _joined([(s["first"], s["last"] + length - 1) for s in spans or []])]
+    return [(a, b + 1) for a, b in _joined([(s["first"], s["last"] + length - 1) for s in (() if spans is None else spans)])]
 
 
 def _kept(data: bytes, gone: list[tuple[int, int]]) -> bytes:
