@@ -46,6 +46,15 @@ def forget(df: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """name, or the first of name_1, name_2 ... that no column of df has (case ignored, as Spark does)."""
+    taken, k, found = {c.lower() for c in df.columns}, 0, name
+    while found.lower() in taken:
+        k += 1
+        found = f"{name}_{k}"
+    return found
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -47,6 +47,7 @@ _LABELLED = [
     *[((w, ld, pw, pl, nw, nl, h, 0, 0, 1), 0) for w in (2, 15, 80) for ld in (0.0, 0.9) for h in (0, 1) for pw, pl, nw, nl in ((40, 0.0, 3, 1.0), (0, 0.0, 60, 0.0), (50, 0.0, 0, 0.0), (5, 1.0, 40, 0.0))],
     # pages without an article: text, neighbours decide on the short ones
     *[((w, ld, pw, 0.0, nw, 0.0, 0, 0, 0, 0), 1) for w in (16, 45, 150) for ld in (0.0, 0.15) for pw, nw in ((0, 40), (40, 0), (30, 30), (0, 0))],
+    *[((w, ld, pw, pl, nw, nl, 0, 0, 0, 0), 1) for w in (16, 45, 150) for ld in (0.0, 0.15) for pw, pl, nw, nl in ((2, 1.0, 40, 0.0), (40, 0.0, 2, 1.0), (1, 1.0, 1, 1.0), (6, 1.0, 0, 0.0))],
     *[((w, 0.0, pw, 0.0, nw, 0.0, h, 0, 0, 0), 1) for w in (2, 8) for pw, nw in ((40, 60), (25, 30), (3, 50)) for h in (0, 1)],
     *[((w, 0.0, 60, 0.0, 2, nl, 0, 0, 0, 0), 1) for w in (4, 9) for nl in (0.0, 0.2)],
     *[((w, ld, pw, pl, nw, nl, 0, 0, 0, 0), 0) for w in (1, 3, 9, 30) for ld in (0.6, 1.0) for pw, pl, nw, nl in ((0, 0.0, 3, 1.0), (3, 1.0, 3, 1.0), (50, 0.0, 2, 1.0), (2, 1.0, 60, 0.0))],

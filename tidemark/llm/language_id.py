@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 from pyspark.sql.window import Window
 
-from tidemark.llm.common import held_out
+from tidemark.llm.common import fresh, held_out
 
 DIM, FULL = 4096, 400
 _OTHER = re.compile(r"[\W\d_]+")
@@ -149,5 +149,6 @@ def accepted(docs: DataFrame, model: Model) -> DataFrame:
         found = [held.value.predict(t) for t in texts]
         return pd.Series([None if f[2] else f[0] for f in found], dtype=object)
 
-    df = docs.withColumn("__lang", F.pandas_udf(predict, StringType())("text")).where(F.col("__lang").isNotNull())
-    return df.select(*[F.col("__lang").alias(c) if c == "lang" else F.col(c) for c in docs.columns])
+    own = fresh(docs, "predicted")
+    df = docs.withColumn(own, F.pandas_udf(predict, StringType())("text")).where(F.col(own).isNotNull())
+    return df.select(*[F.col(own).alias(c) if c == "lang" else F.col(c) for c in docs.columns])

@@ -289,7 +289,7 @@ def line_classes(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS) ->
 
 
 def dedup(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS) -> DataFrame:
-    """The columns of docs with the lines taken out of text, and line_classes (pos, class_id, kept of its lines that have others)."""
+    """The columns of docs with the lines taken out of text, and line_classes (pos, class_id, kept of its lines that have others; left out where docs has a column of that name)."""
     classes = stored(line_classes(docs, tau, min_chars), "lines-found")
     per = classes.groupBy("doc_id", "uid").agg(F.array_sort(F.collect_set(F.struct("pos", "class_id", "kept"))).alias("line_classes"))
     rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("uid"))
@@ -299,8 +299,8 @@ def dedup(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS) -> DataFr
     some = F.coalesce(F.size(drop) > 0, F.lit(False))
     text = F.when(some, without_lines(F.col("row.text"), drop)).otherwise(F.col("row.text"))
     names = docs.columns
-    out = joined.select(*[F.col("row")[c].alias(c) for c in names if c != "text"], text.alias("text"), F.coalesce("line_classes", F.array().cast("array<struct<pos:int,class_id:bigint,kept:boolean>>")).alias("line_classes"))
-    return out.select(*names, "line_classes")
+    listed = F.coalesce("line_classes", F.array().cast("array<struct<pos:int,class_id:bigint,kept:boolean>>"))
+    return joined.select(*[text.alias(c) if c == "text" else F.col("row")[c].alias(c) for c in names], *([] if "line_classes" in names else [listed.alias("line_classes")]))
 
 
 @F.pandas_udf(StringType())

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import stored
+from tidemark.llm.common import fresh, stored
 from tidemark.llm.components import connected, stars
 
 #: counts[byte, bit] of a byte value
@@ -177,7 +177,8 @@ def near_duplicates(docs: DataFrame, distance: int = 4, block: int = 8192) -> Da
 def representatives(docs: DataFrame, distance: int = 4, block: int = 8192) -> DataFrame:
     """One row of docs for each component: the first (in an arbitrary order) of those that have its smallest doc_id; a component without ids keeps all its rows."""
     found = near_duplicates(docs, distance, block).select("doc_id", "component_id")
-    keep = stored(found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("__keep")).distinct(), "simhash-keep")
+    own = fresh(docs, "keep")
+    keep = stored(found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias(own)).distinct(), "simhash-keep")
     loose = found.where(F.col("component_id").isNull()).limit(1).count()
-    kept = docs.join(keep, F.col("doc_id").cast("long") == F.col("__keep"), "left_semi")
+    kept = docs.join(keep, F.col("doc_id").cast("long") == F.col(own), "left_semi")
     return kept.unionByName(docs.where(F.col("doc_id").isNull())) if loose else kept
