@@ -90,3 +90,11 @@ def test_interleave_is_the_suffix_order():
     for k in range(1, len(parts)):
         a, b = ranked[k - 1], ranked[k]
         assert common[k] == next((i for i in range(24) if a[i] != b[i]), 24)
+
+
+def test_many_records_without_any_repeat():
+    rng = random.Random(8)
+    contexts = [bytes(rng.choices(b"abcdefgh", k=60)) for _ in range(30)]
+    n = len(contexts)
+    key, b, p0, p1 = np.zeros(n, np.int64), np.full(n, 20), np.zeros(n, np.int64), np.full(n, 20)
+    assert list(S.repeated(key, b, p0, p1, contexts, 40)) == []

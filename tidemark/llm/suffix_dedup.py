@@ -314,7 +314,7 @@ def repeated(key: np.ndarray, b: np.ndarray, p0: np.ndarray, p1: np.ndarray, con
             _, place, times = np.unique(both, return_inverse=True, return_counts=True)
             hit = live[times[place] > 1]
             marked.append((hit, np.full(len(hit), o)))
-        if marked:
+        if sum(len(m[0]) for m in marked):
             who, o = np.concatenate([m[0] for m in marked]), np.concatenate([m[1] for m in marked])
             move = np.lexsort((o, who))
             who, o = who[move], o[move]
