@@ -391,9 +391,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> Dat
     where = base.mapInArrow(_locate(length), "doc_id long, uid long, h long, b int, p0 int, p1 int")
     where = where.join(_small(seen, seen.count()), "h")
     per = stored(where.groupBy("doc_id", "uid").agg(F.collect_set(F.struct("h", "b", "p0", "p1", "hot")).alias("found")), "suffix-candidates")
-    total = per.agg(F.sum(F.size("found"))).first()[0] or 0
     named = per.select(F.col("doc_id").alias("d"), F.col("uid").alias("u"), "found")
-    with_text = base.join(_small(named, total), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("uid") == F.col("u"))).select("doc_id", "uid", "text", "found")
+    with_text = base.join(named, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("uid") == F.col("u"))).select("doc_id", "uid", "text", "found")
     records = with_text.mapInArrow(_records(length), RECORD_DDL)
     spans = records.repartition("key").sortWithinPartitions("key").mapInArrow(_spans(length), SPAN)
     return spans.groupBy("doc_id", "uid").agg(F.collect_set(F.struct("first", "last")).alias("spans"))
@@ -416,10 +415,9 @@ def _kept(data: bytes, gone: list[tuple[int, int]]) -> bytes:
 def _with_spans(docs: DataFrame, length: int, hot: int) -> DataFrame:
     """row (all columns of docs), text, spans."""
     spans = stored(repeated_spans(docs, length, hot), "suffix-spans")
-    total = spans.agg(F.sum(F.size("spans"))).first()[0] or 0
     spans = spans.select(F.col("doc_id").alias("d"), F.col("uid").alias("u"), "spans")
     rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("uid"))
-    return rows.join(_small(spans, total), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("uid") == F.col("u")), "left").select("row", "doc_id", F.col("row.text").alias("text"), "spans")
+    return rows.join(spans, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("uid") == F.col("u")), "left").select("row", "doc_id", F.col("row.text").alias("text"), "spans")
 
 
 def report(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
