@@ -46,6 +46,18 @@ def forget(df: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Bytes of an Arrow batch.  Whole texts can be long, and the JVM and a Python worker both hold a batch.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """From now on the session sends Arrow batches of at most BATCH_BYTES (or one row); a smaller limit of its own stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key))
+    if not 0 < now <= BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """name, or the first of name_1, name_2 ... that no column of df has (case ignored, as Spark does)."""
     taken, k, found = {c.lower() for c in df.columns}, 0, name

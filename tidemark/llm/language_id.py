@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 from pyspark.sql.window import Window
 
-from tidemark.llm.common import fresh, held_out
+from tidemark.llm.common import fresh, held_out, small_batches
 
 DIM, FULL = 4096, 400
 _OTHER = re.compile(r"[\W\d_]+")
@@ -108,6 +108,7 @@ def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def train(docs: DataFrame, per_language: int = 400, total: int = 4000, **kw) -> Model:
     """Fit on the training part of docs (doc_id, text, lang).  At most `total` vectors of 8 KB reach the driver."""
+    small_batches(docs.sparkSession)
     part = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~F.coalesce(held_out(F.col("doc_id")), F.lit(True)))
     hashed = F.xxhash64("doc_id")
     # The rank is taken over ids only, and its limit is applied in each task before the shuffle.
@@ -125,6 +126,7 @@ def train(docs: DataFrame, per_language: int = 400, total: int = 4000, **kw) ->
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, lang_pred, score, rejected of each row of docs (doc_id, text).  The model is a few hundred KB for each language."""
+    small_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,6 +143,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
 def accepted(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of docs that are not rejected, with lang set to the prediction; all columns are kept."""
+    small_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def predict(texts):

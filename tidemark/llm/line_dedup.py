@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from tidemark.llm.common import stored
+from tidemark.llm.common import small_batches, stored
 from tidemark.llm.components import connected
 
 TAU, MIN_CHARS = 2, 20
@@ -255,6 +255,7 @@ def _small(df: DataFrame, rows: int | None = None) -> DataFrame:
 
 def line_links(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS, block: int = 512) -> tuple[DataFrame, DataFrame]:
     """Edges (a, b) between hashes of different lines that connect what links within tau connect, and the lines' (h1, h2)."""
+    small_batches(docs.sparkSession)
     keys = docs.select("text").mapInArrow(_keys(tau, max(min_chars, tau + 1)), "key long, h1 long, indexed boolean")
     near = stored(keys.repartition("key").sortWithinPartitions("key").mapInArrow(_candidates, "key long, h1 long, indexed boolean").distinct(), "lines-candidates")
     ids = stored(near.select("h1").distinct(), "lines-ids")

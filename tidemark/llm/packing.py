@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.llm.common import stored
+from tidemark.llm.common import small_batches, stored
 
 SIZE, END = 2048, 0
 
@@ -190,6 +190,7 @@ def _cut(path: str, size: int, end: int):
 
 def pieces(docs: DataFrame, path: str, size: int = SIZE, end: int = END) -> DataFrame:
     """Pieces of each row of docs (doc_id, text), with rank: the number of earlier pieces of that length in the same block of rows."""
+    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_cut(path, size, end), PIECES)
 
 

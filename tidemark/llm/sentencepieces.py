@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import small_batches
+
 MARK = "▁"
 _MARK = MARK.encode()
 
@@ -327,6 +329,8 @@ def encoder(path: str) -> Encoder:
 def digests(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of each row of docs (doc_id, text); path: the model file, present on every machine."""
 
+    small_batches(docs.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(path)
         for batch in batches:
@@ -341,6 +345,8 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
 def spans(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, and pieces: array of (id, piece, start, end), the last two bytes of the original text."""
 
+    small_batches(docs.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = loaded(path)
         kind = pa.list_(pa.struct([("id", pa.int32()), ("piece", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import fresh, stored
+from tidemark.llm.common import fresh, small_batches, stored
 from tidemark.llm.components import connected, stars
 
 #: counts[byte, bit] of a byte value
@@ -163,6 +163,7 @@ def near_links(nodes: DataFrame, distance: int = 4, block: int = 8192) -> DataFr
 
 def near_duplicates(docs: DataFrame, distance: int = 4, block: int = 8192) -> DataFrame:
     """doc_id, fingerprint, component_id of each row of docs (doc_id, text)."""
+    small_batches(docs.sparkSession)
     prints = stored(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_fingerprints, "doc_id long, fp long"), "simhash-prints")
     none = F.lit(NO_ID) + F.pmod("fp", F.lit(1 << 61))
     nodes = stored(prints.groupBy("fp").agg(F.coalesce(F.min("doc_id"), none).alias("node")), "simhash-nodes")

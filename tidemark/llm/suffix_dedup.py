@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from tidemark.llm.common import stored
+from tidemark.llm.common import small_batches, stored
 
 LENGTH, GRAM, HOT = 400, 64, 20_000
 #: A buffer holds whole documents of up to so many bytes, or a part of a longer one.
@@ -385,6 +385,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
     """doc_id, uid, spans: the first and last positions of runs of windows that start elsewhere too, of each document that has some."""
+    small_batches(docs.sparkSession)
     base = _keyed(docs)
     seen = base.select("text").mapInArrow(_count(length), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1")
     seen = stored(seen.select("h", (F.col("n") > hot).alias("hot")), "suffix-anchors")
