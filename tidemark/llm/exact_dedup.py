@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import small_batches, stored
+from tidemark.llm.common import small_batches, stored, tidy
 
 _SPACES = b" \t\n\x0b\x0c\r"
 #: Bytes of distinct content that one table holds before it is emptied (scan) or dealt on to spill files (final).
@@ -168,14 +168,14 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def groups(docs: DataFrame) -> DataFrame:
     """One row per distinct normalised text: sha, keep_id, keep_chars, group_size."""
-    partial = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(fold, "sha binary, content binary, chars long, doc long, n long")
-    return partial.repartition("sha").mapInArrow(settle, GROUPS)
+    partial = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(fold), "sha binary, content binary, chars long, doc long, n long")
+    return partial.repartition("sha").mapInArrow(tidy(settle), GROUPS)
 
 
 def exact_dedup(docs: DataFrame) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 of each row of docs (doc_id, text)."""
     small_batches(docs.sparkSession)
-    rows = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_digests, "doc_id long, chars long, sha binary")
+    rows = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(_digests), "doc_id long, chars long, sha binary")
     # The groups come out dealt by digest; a written table lets the join deal both sides itself, so that it can split a hot digest.
     found = stored(groups(docs), "exact-groups")
     joined = rows.join(found, "sha")

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 from pyspark.sql.window import Window
 
-from tidemark.llm.common import fresh, held_out, small_batches
+from tidemark.llm.common import fresh, held_out, release, small_batches, tidy
 
 DIM, FULL = 4096, 400
 _OTHER = re.compile(r"[\W\d_]+")
@@ -117,7 +117,7 @@ def train(docs: DataFrame, per_language: int = 400, total: int = 4000, **kw) ->
     chosen = ids.orderBy("r", "h", "lang").limit(total).select("doc_id", "lang").distinct()
     sample = part.join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi")
     # Repeated rows of an id could pass the bound; equal rows are one.
-    rows = sample.select("lang", "text").mapInArrow(_vectors, "lang string, v binary").limit(2 * total).toArrow()
+    rows = sample.select("lang", "text").mapInArrow(tidy(_vectors), "lang string, v binary").limit(2 * total).toArrow()
     vec = np.frombuffer(b"".join(rows["v"].to_pylist()), np.float16).reshape(-1, DIM).astype(np.float32) if rows.num_rows else np.zeros((0, DIM), np.float32)
     langs = rows["lang"].to_pylist()
     order = sorted(range(len(langs)), key=lambda k: (langs[k], zlib.crc32(vec[k].tobytes())))
@@ -137,7 +137,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
                 [batch.column(0), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64()), pa.array([f[2] for f in found], pa.bool_())], names=["doc_id", "lang_pred", "score", "rejected"]
             )
 
-    out = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, lang_pred string, score double, rejected boolean")
+    out = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(run), "doc_id long, lang_pred string, score double, rejected boolean")
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "rejected")
 
 
@@ -150,6 +150,7 @@ def accepted(docs: DataFrame, model: Model) -> DataFrame:
         import pandas as pd
 
         found = [held.value.predict(t) for t in texts]
+        release()
         return pd.Series([None if f[2] else f[0] for f in found], dtype=object)
 
     own = fresh(docs, "predicted")

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from tidemark.llm.common import small_batches, stored
+from tidemark.llm.common import release, small_batches, stored, tidy
 from tidemark.llm.components import connected
 
 TAU, MIN_CHARS = 2, 20
@@ -256,8 +256,8 @@ def _small(df: DataFrame, rows: int | None = None) -> DataFrame:
 def line_links(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS, block: int = 512) -> tuple[DataFrame, DataFrame]:
     """Edges (a, b) between hashes of different lines that connect what links within tau connect, and the lines' (h1, h2)."""
     small_batches(docs.sparkSession)
-    keys = docs.select("text").mapInArrow(_keys(tau, max(min_chars, tau + 1)), "key long, h1 long, indexed boolean")
-    near = stored(keys.repartition("key").sortWithinPartitions("key").mapInArrow(_candidates, "key long, h1 long, indexed boolean").distinct(), "lines-candidates")
+    keys = docs.select("text").mapInArrow(tidy(_keys(tau, max(min_chars, tau + 1))), "key long, h1 long, indexed boolean")
+    near = stored(keys.repartition("key").sortWithinPartitions("key").mapInArrow(tidy(_candidates), "key long, h1 long, indexed boolean").distinct(), "lines-candidates")
     ids = stored(near.select("h1").distinct(), "lines-ids")
     lines = _lines(docs).where(F.length("line") >= min_chars).select(*_hashes(), "line")
     text = stored(lines.join(_small(ids), "h1", "left_semi").distinct(), "lines-texts")
@@ -267,7 +267,7 @@ def line_links(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS, bloc
     own = F.pmod("h1", blocks)
     cells = F.when(F.col("n").isNull(), F.array(F.lit(0).cast("long"))).otherwise(F.transform(F.sequence(F.lit(0).cast("long"), blocks - 1), lambda j: F.least(own, j) * (1 << 20) + F.greatest(own, j)))
     rows = rows.join(_small(large), "key", "left").select("key", F.explode(cells).alias("cell"), "h1", "indexed", "line")
-    edges = rows.repartition("key", "cell").sortWithinPartitions("key", "cell").mapInArrow(_verify(tau), "a long, b long")
+    edges = rows.repartition("key", "cell").sortWithinPartitions("key", "cell").mapInArrow(tidy(_verify(tau)), "a long, b long")
     return edges, text.select("h1", "h2")
 
 
@@ -315,6 +315,7 @@ def without_lines(texts, drops):
             continue
         gone = set(drop)
         out.append("\n".join([x for k, x in enumerate(text.split("\n")) if k not in gone]))
+    release()
     return pd.Series(out, dtype=object)
 
 

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.llm.common import small_batches, stored
+from tidemark.llm.common import small_batches, stored, tidy
 
 SIZE, END = 2048, 0
 
@@ -135,13 +135,13 @@ def encoder(path: str):
 
     from tokenizers import Tokenizer
 
-    slow = Tokenizer.from_file(path)
+    slow = lru_cache(1)(lambda: Tokenizer.from_file(path))
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
     model, pre = spec["model"], spec["pre_tokenizer"] or {}
 
     def plain(text: str) -> np.ndarray:
-        return np.array(slow.encode(text, add_special_tokens=False).ids, "<u4")
+        return np.array(slow().encode(text, add_special_tokens=False).ids, "<u4")
 
     if not (model["type"] == "BPE" and pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and not spec["normalizer"] and not model.get("ignore_merges")):
         return plain
@@ -191,7 +191,7 @@ def _cut(path: str, size: int, end: int):
 def pieces(docs: DataFrame, path: str, size: int = SIZE, end: int = END) -> DataFrame:
     """Pieces of each row of docs (doc_id, text), with rank: the number of earlier pieces of that length in the same block of rows."""
     small_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_cut(path, size, end), PIECES)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(_cut(path, size, end)), PIECES)
 
 
 def pack(docs: DataFrame, path: str, size: int = SIZE, end: int = END) -> DataFrame:
@@ -212,4 +212,4 @@ def pack(docs: DataFrame, path: str, size: int = SIZE, end: int = END) -> DataFr
             yield pa.RecordBatch.from_arrays([*cols, pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64())], names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
     ranked = cut.join(before, ["block", "length"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("rank") + F.col("before")).alias("rank"))
-    return ranked.mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return ranked.mapInArrow(tidy(place), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import small_batches
+from tidemark.llm.common import small_batches, tidy
 
 MARK = "▁"
 _MARK = MARK.encode()
@@ -339,7 +339,7 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
                 [batch.column(0), pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.string()), pa.array([f[2] for f in found], pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
             )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def spans(docs: DataFrame, path: str) -> DataFrame:
@@ -354,4 +354,4 @@ def spans(docs: DataFrame, path: str) -> DataFrame:
             rows = [[{"id": k, "piece": m.pieces[k], "start": a, "end": b} for k, a, b in m.encode(t)] for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, kind)], names=["doc_id", "pieces"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, pieces array<struct<id:int,piece:string,start:bigint,end:bigint>>")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(run), "doc_id long, pieces array<struct<id:int,piece:string,start:bigint,end:bigint>>")

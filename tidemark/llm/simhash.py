@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import fresh, small_batches, stored
+from tidemark.llm.common import fresh, small_batches, stored, tidy
 from tidemark.llm.components import connected, stars
 
 #: counts[byte, bit] of a byte value
@@ -144,7 +144,7 @@ def _verify(distance: int):
 def near_links(nodes: DataFrame, distance: int = 4, block: int = 8192) -> DataFrame:
     """Edges (a, b) that connect what links of at most `distance` bits connect, over nodes (fp, node) of different fp."""
     segments = layout(nodes.count(), distance)
-    rows = nodes.select("fp", "node").mapInArrow(_file(segments), "key long, node long, fp long, ask boolean")
+    rows = nodes.select("fp", "node").mapInArrow(tidy(_file(segments)), "key long, node long, fp long, ask boolean")
     large = stored(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block), "simhash-large")
     n_large = large.count()
     if n_large:
@@ -158,13 +158,13 @@ def near_links(nodes: DataFrame, distance: int = 4, block: int = 8192) -> DataFr
         )
     else:
         rows = rows.select("key", F.lit(0).cast("long").alias("cell"), "node", "fp", "ask")
-    return rows.repartition("key", "cell").sortWithinPartitions("key", "cell").mapInArrow(_verify(distance), "a long, b long")
+    return rows.repartition("key", "cell").sortWithinPartitions("key", "cell").mapInArrow(tidy(_verify(distance)), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, distance: int = 4, block: int = 8192) -> DataFrame:
     """doc_id, fingerprint, component_id of each row of docs (doc_id, text)."""
     small_batches(docs.sparkSession)
-    prints = stored(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_fingerprints, "doc_id long, fp long"), "simhash-prints")
+    prints = stored(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(_fingerprints), "doc_id long, fp long"), "simhash-prints")
     none = F.lit(NO_ID) + F.pmod("fp", F.lit(1 << 61))
     nodes = stored(prints.groupBy("fp").agg(F.coalesce(F.min("doc_id"), none).alias("node")), "simhash-nodes")
     of_node = connected(near_links(nodes, distance, block))

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from tidemark.llm.common import small_batches, stored
+from tidemark.llm.common import release, small_batches, stored, tidy
 
 LENGTH, GRAM, HOT = 400, 64, 20_000
 #: A buffer holds whole documents of up to so many bytes, or a part of a longer one.
@@ -387,15 +387,15 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> Dat
     """doc_id, uid, spans: the first and last positions of runs of windows that start elsewhere too, of each document that has some."""
     small_batches(docs.sparkSession)
     base = _keyed(docs)
-    seen = base.select("text").mapInArrow(_count(length), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1")
+    seen = base.select("text").mapInArrow(tidy(_count(length)), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1")
     seen = stored(seen.select("h", (F.col("n") > hot).alias("hot")), "suffix-anchors")
-    where = base.mapInArrow(_locate(length), "doc_id long, uid long, h long, b int, p0 int, p1 int")
+    where = base.mapInArrow(tidy(_locate(length)), "doc_id long, uid long, h long, b int, p0 int, p1 int")
     where = where.join(_small(seen, seen.count()), "h")
     per = stored(where.groupBy("doc_id", "uid").agg(F.collect_set(F.struct("h", "b", "p0", "p1", "hot")).alias("found")), "suffix-candidates")
     named = per.select(F.col("doc_id").alias("d"), F.col("uid").alias("u"), "found")
     with_text = base.join(named, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("uid") == F.col("u"))).select("doc_id", "uid", "text", "found")
-    records = with_text.mapInArrow(_records(length), RECORD_DDL)
-    spans = records.repartition("key").sortWithinPartitions("key").mapInArrow(_spans(length), SPAN)
+    records = with_text.mapInArrow(tidy(_records(length)), RECORD_DDL)
+    spans = records.repartition("key").sortWithinPartitions("key").mapInArrow(tidy(_spans(length)), SPAN)
     return spans.groupBy("doc_id", "uid").agg(F.collect_set(F.struct("first", "last")).alias("spans"))
 
 
@@ -434,7 +434,7 @@ def report(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, pa.int64()) for c in cols[:3]], pa.array(cols[3], pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     df = _with_spans(docs.select("doc_id", "text"), length, hot)
-    return df.select("doc_id", "text", "spans").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return df.select("doc_id", "text", "spans").mapInArrow(tidy(run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def removed(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
@@ -449,6 +449,7 @@ def removed(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
                 out.append(t)
             else:
                 out.append(_kept(t.encode("utf-8", "surrogatepass"), holes(s, length)).decode("utf-8", "ignore"))
+        release()
         return pd.Series(out, dtype=object)
 
     names = docs.columns
