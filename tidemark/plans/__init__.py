@@ -1 +1,29 @@
+"""Named queries over the given tables, each beside the SQL that says the same."""
 
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None, name: str | None = None):
+    """Register a query, with its SQL over the same tables where SQL can say it."""
+
+    def add(f: Callable[[SparkSession, str], DataFrame]):
+        key = name or f.__name__
+        QUERIES[key] = f
+        if sql:
+            SQL[key] = sql
+        return f
+
+    return add
+
+
+def load() -> tuple[dict[str, Callable[[SparkSession, str], DataFrame]], dict[str, str]]:
+    from tidemark.plans import catalogue, geometry, grids, joins, naming, raster, series, tiles, work  # noqa: F401
+
+    return QUERIES, SQL
