@@ -87,23 +87,65 @@ def utm(lon: ColumnOrName, lat: ColumnOrName, epsg: ColumnOrName) -> Column:
     return point(east * (SCALE * RECTIFYING) + FALSE_EAST, north * (SCALE * RECTIFYING) + south)
 
 
-def utm_inverse(x: ColumnOrName, y: ColumnOrName, epsg: ColumnOrName) -> Column:
-    """Longitude and latitude of a place in a zone."""
-    x, y, epsg = col(x), col(y), col(epsg)
+def utm_line(line: ColumnOrName, epsg: ColumnOrName) -> Column:
+    """utm() for each point of an array, step by step."""
+    epsg = col(epsg)
+    e = F.lit(ECCENTRICITY)
+    south = F.when(F.floor(epsg / 100) == 327, F.lit(FALSE_NORTH)).otherwise(F.lit(0.0))
+
+    def second(p: Column) -> Column:
+        c = F.atanh(p["s"]) - e * F.atanh(e * p["s"])
+        return F.struct(F.atan2(F.sinh(c), F.cos(p["away"])).alias("xi"), F.atanh(F.sin(p["away"]) / F.cosh(c)).alias("eta"))
+
+    def third(p: Column) -> Column:
+        east, north = p["eta"], p["xi"]
+        for j, a in enumerate(ALPHA, 1):
+            north = north + a * F.sin(p["xi"] * (2 * j)) * F.cosh(p["eta"] * (2 * j))
+            east = east + a * F.cos(p["xi"] * (2 * j)) * F.sinh(p["eta"] * (2 * j))
+        return point(east * (SCALE * RECTIFYING) + FALSE_EAST, north * (SCALE * RECTIFYING) + south)
+
+    steps = F.transform(col(line), lambda p: F.struct(F.radians(p["x"] - ((epsg % 100) * 6 - 183)).alias("away"), F.sin(F.radians(p["y"])).alias("s")))
+    return F.transform(F.transform(steps, second), third)
+
+
+def _rectified(x: Column, y: Column, epsg: Column) -> Column:
     south = F.when(F.floor(epsg / 100) == 327, F.lit(FALSE_NORTH)).otherwise(F.lit(0.0))
-    xi, eta = (y - south) / (SCALE * RECTIFYING), (x - FALSE_EAST) / (SCALE * RECTIFYING)
+    return F.struct(((y - south) / (SCALE * RECTIFYING)).alias("xi"), ((x - FALSE_EAST) / (SCALE * RECTIFYING)).alias("eta"))
+
+
+def _spherical(p: Column) -> Column:
+    xi, eta = p["xi"], p["eta"]
     north, east = xi, eta
     for j, b in enumerate(BETA, 1):
         north = north - b * F.sin(xi * (2 * j)) * F.cosh(eta * (2 * j))
         east = east - b * F.cos(xi * (2 * j)) * F.sinh(eta * (2 * j))
-    wanted = F.asin(F.sin(north) / F.cosh(east))
-    # Newton-free: the conformal latitude is undone by its fixed point, which gains over two digits a step.
-    q = F.atanh(F.sin(wanted))
-    lat = wanted
+    return F.struct(north.alias("n"), east.alias("e"))
+
+
+def _conformal(p: Column) -> Column:
+    sine = F.sin(p["n"]) / F.cosh(p["e"])
+    return F.struct(F.atanh(sine).alias("q"), F.asin(sine).alias("lat"), F.degrees(F.atan2(F.sinh(p["e"]), F.cos(p["n"]))).alias("away"))
+
+
+def _geographic(p: Column, epsg: Column) -> Column:
+    """The conformal latitude is undone by its fixed point, which gains over two digits a step."""
+    lat = p["lat"]
     for _ in range(6):
-        lat = F.atan(F.sinh(q + F.lit(ECCENTRICITY) * F.atanh(F.lit(ECCENTRICITY) * F.sin(lat))))
-    lon = F.degrees(F.atan2(F.sinh(east), F.cos(north))) + ((epsg % 100) * 6 - 183)
-    return point(lon, F.degrees(lat))
+        lat = F.atan(F.sinh(p["q"] + F.lit(ECCENTRICITY) * F.atanh(F.lit(ECCENTRICITY) * F.sin(lat))))
+    return point(p["away"] + ((epsg % 100) * 6 - 183), F.degrees(lat))
+
+
+def utm_inverse(x: ColumnOrName, y: ColumnOrName, epsg: ColumnOrName) -> Column:
+    """Longitude and latitude of a place in a zone."""
+    return F.get(utm_inverse_line(F.array(point(x, y)), epsg), F.lit(0))
+
+
+def utm_inverse_line(line: ColumnOrName, epsg: ColumnOrName) -> Column:
+    """The same for each point of an array.  Each step is bound by a transform of its own: written into one another they would be evaluated many times."""
+    epsg = col(epsg)
+    steps = F.transform(col(line), lambda p: _rectified(p["x"], p["y"], epsg))
+    steps = F.transform(F.transform(steps, _spherical), _conformal)
+    return F.transform(steps, lambda p: _geographic(p, epsg))
 
 
 def convert(x: ColumnOrName, y: ColumnOrName, source: int | Column, target: int | Column) -> Column:

@@ -167,13 +167,13 @@ def measures(line: ColumnOrName) -> Column:
     return F.aggregate(steps, start, lambda t, d: F.concat(t, F.array(F.element_at(t, -1) + d)))
 
 
-def interpolate(line: ColumnOrName, at: Column) -> Column:
-    """Point of the line at that distance from its start, held within the line."""
+def interpolate(line: ColumnOrName, at: Column, along: ColumnOrName | None = None) -> Column:
+    """Point of the line at that distance from its start, held within the line; along: its measures, where a column has them."""
     line = col(line)
-    parts = F.zip_with(segments(line), F.slice(measures(line), F.lit(1), F.greatest(F.size(line) - 1, F.lit(1))), lambda s, m: F.struct(s["a"].alias("a"), s["b"].alias("b"), m.alias("m")))
-    held = F.greatest(F.lit(0.0), F.least(at, length(line)))
-    hit = F.try_element_at(F.filter(parts, lambda s: s["m"] <= held), F.lit(-1))
-    return shift_point(hit["a"], hit["b"], held - hit["m"])
+    along = measures(line) if along is None else col(along)
+    held = F.greatest(F.lit(0.0), F.least(at, F.try_element_at(along, F.lit(-1))))
+    k = F.size(F.filter(F.slice(along, F.lit(1), F.greatest(F.size(line) - 1, F.lit(1))), lambda m: m <= held)) - 1
+    return shift_point(F.get(line, k), F.get(line, k + 1), held - F.get(along, k))
 
 
 def project(a: Column, b: Column, p: Column) -> Column:

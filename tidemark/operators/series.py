@@ -60,28 +60,31 @@ def project(df: DataFrame, change: ColumnOrName, buffer: ColumnOrName | None = N
     The transect is extended in its zone, the reference point measured along it, moved by the change less the buffer and
     held within the transect.  kind point gives that place; rectangle a ring between both places, alongshore metres to
     each side.  NULL for a transect that is longer than extend_to or has no length, and for a rectangle without any.
-    Every step is a projection of its own: nested in one expression they would be copied many times over.
+    Each step is bound by a transform over one element: written into one another they would be copied many times over.
     """
     if kind not in ("point", "rectangle"):
         raise ValueError("kind must be point or rectangle")
-    names = df.columns
-    df = df.withColumns({"__change": col(change).cast("double"), "__buffer": F.lit(0.0) if buffer is None else col(buffer).cast("double")})
-    df = df.withColumns({f"__{c}": crs.utm(F.col(c)["x"], F.col(c)["y"], "utm_epsg") for c in ("start", "end", "reference")})
-    a, b = F.col("__start"), F.col("__end")
-    df = df.withColumn("__n", planar.distance(a, b))
-    more = F.when((F.col("__n") <= extend_to) & (F.col("__n") > 0), (F.col("__n") - extend_to) / 2)
-    df = df.withColumn("__more", more)
-    df = df.withColumns({"__a": planar.shift_point(a, b, "__more"), "__b": planar.shift_point(b, a, "__more")})
-    df = df.withColumn("__base", planar.project(F.col("__a"), F.col("__b"), F.col("__reference")))
-    df = df.withColumn("__at", projected_distance(F.col("__base"), F.col("__change"), F.col("__buffer"), extend_to))
-    df = df.withColumns({"__p": planar.shift_point(F.col("__a"), F.col("__b"), "__at"), "__q": planar.shift_point(F.col("__a"), F.col("__b"), "__base")})
+    moved = F.lit(0.0) if buffer is None else col(buffer).cast("double")
+    state = F.array(F.struct(F.array("start", "end", "reference").alias("g"), col(change).cast("double").alias("change"), moved.alias("buffer"), F.col("utm_epsg").alias("epsg")))
+
+    def struct(s: Column, keep: str, **new: Column) -> Column:
+        return F.struct(*[s[k].alias(k) for k in keep.split()], *[c.alias(k) for k, c in new.items()])
+
+    given = "change buffer epsg"
+    state = F.transform(state, lambda s: struct(s, given, u=crs.utm_line(s["g"], s["epsg"])))
+    state = F.transform(state, lambda s: struct(s, given, a=F.get(s["u"], F.lit(0)), b=F.get(s["u"], F.lit(1)), r=F.get(s["u"], F.lit(2))))
+    state = F.transform(state, lambda s: struct(s, f"{given} a b r", n=planar.distance(s["a"], s["b"])))
+    state = F.transform(state, lambda s: struct(s, f"{given} a b r", more=F.when((s["n"] <= extend_to) & (s["n"] > 0), (s["n"] - extend_to) / 2)))
+    state = F.transform(state, lambda s: struct(s, f"{given} r more", a=planar.shift_point(s["a"], s["b"], s["more"]), b=planar.shift_point(s["b"], s["a"], s["more"])))
+    state = F.transform(state, lambda s: struct(s, f"{given} more a b", base=planar.project(s["a"], s["b"], s["r"])))
+    state = F.transform(state, lambda s: struct(s, "epsg more a b base", at=projected_distance(s["base"], s["change"], s["buffer"], extend_to)))
+    state = F.transform(state, lambda s: struct(s, "epsg more base at", p=planar.shift_point(s["a"], s["b"], s["at"]), q=planar.shift_point(s["a"], s["b"], s["base"])))
     if kind == "point":
-        made = crs.utm_inverse(F.col("__p")["x"], F.col("__p")["y"], "utm_epsg")
+        made = F.transform(state, lambda s: F.when(s["more"].isNotNull(), F.get(crs.utm_inverse_line(F.array(s["p"]), s["epsg"]), F.lit(0))))
     else:
-        df = df.withColumn("__ring", planar.offset_rectangle(F.col("__q"), F.col("__p"), alongshore))
-        made = F.transform("__ring", lambda p: crs.utm_inverse(p["x"], p["y"], "utm_epsg"))
-        made = F.when(F.col("__at") != F.col("__base"), made)
-    return df.withColumn("__made", F.when(F.col("__more").isNotNull(), made)).select(*[c for c in names if c != into], F.col("__made").alias(into))
+        state = F.transform(state, lambda s: struct(s, "epsg more base at", ring=planar.offset_rectangle(s["q"], s["p"], alongshore)))
+        made = F.transform(state, lambda s: F.when(s["more"].isNotNull() & (s["at"] != s["base"]), crs.utm_inverse_line(s["ring"], s["epsg"])))
+    return df.withColumn(into, F.get(made, F.lit(0)))
 
 
 def apply_projection(df: DataFrame, kind: str = "point", alongshore: float = 50.0, valid: str = "ambient_change_is_valid") -> DataFrame:
@@ -99,9 +102,11 @@ def transects(coastlines: DataFrame, length: float, spacing: float, smooth: floa
 
     A row for each coastline becomes a row for each origin inside the task that holds it; nothing is shuffled.
     """
-    df = coastlines.withColumn("__l", planar.length("line")).withColumn("__o", F.explode(planar.transect_origins("__l", spacing)))
-    at = lambda d: planar.interpolate("line", F.col("__o") + d)
-    df = df.withColumns({"__b": at(-smooth), "__p": at(0.0), "__a": at(smooth)})
+    df = coastlines.withColumn("__m", planar.measures("line")).withColumn("__l", F.try_element_at("__m", F.lit(-1)))
+    df = df.withColumn("__o", F.explode(planar.transect_origins("__l", spacing)))
+    # The three places come as one array, so that their expression stands in the plan once.
+    at = F.transform(F.array(F.lit(-smooth), F.lit(0.0), F.lit(smooth)), lambda d: planar.interpolate("line", F.col("__o") + d, "__m"))
+    df = df.withColumn("__at", at).withColumns({k: F.get("__at", F.lit(n)) for n, k in enumerate(("__b", "__p", "__a"))})
     df = df.withColumn("transect", planar.transect(F.col("__b"), F.col("__p"), F.col("__a"), length))
     place = crs.utm_inverse(F.col("__p")["x"], F.col("__p")["y"], F.col("utm_epsg"))
     df = df.withColumns({"__w": place, "bearing": planar.bearing(planar.first("transect"), planar.last("transect"))})

@@ -110,9 +110,9 @@ def update_from_files(log: DataFrame, found: DataFrame, required: Sequence[str]
 
 
 def read_json(spark: SparkSession, path: str) -> DataFrame:
-    """All records of JSON logs in order of time; unreadable lines are left out."""
-    df = spark.read.schema("id string, name string, status string, datetime string, message string, _bad string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").json(path)
-    return df.where("_bad is null").drop("_bad").withColumn("datetime", F.expr("try_to_timestamp(datetime)")).orderBy(F.col("datetime").asc_nulls_last(), "id")
+    """All records of JSON logs in order of time; unreadable lines and records without a name are left out."""
+    df = spark.read.schema("id string, name string, status string, datetime string, message string").option("mode", "PERMISSIVE").json(path)
+    return df.where("name is not null").withColumn("datetime", F.expr("try_to_timestamp(datetime)")).orderBy(F.col("datetime").asc_nulls_last(), "id")
 
 
 def append_json(spark: SparkSession, path: str, name: str, status: str, message: str = "") -> None:
