@@ -154,5 +154,5 @@ def accepted(docs: DataFrame, model: Model) -> DataFrame:
         return pd.Series([None if f[2] else f[0] for f in found], dtype=object)
 
     own = fresh(docs, "predicted")
-    df = docs.withColumn(own, F.pandas_udf(predict, StringType())("text")).where(F.col(own).isNotNull())
+    df = docs.withColumn(own, F.pandas_udf(predict, StringType()).asNondeterministic()("text")).where(F.col(own).isNotNull())
     return df.select(*[F.col(own).alias(c) if c == "lang" else F.col(c) for c in docs.columns])
