@@ -103,3 +103,44 @@ def test_dedup_keeps_columns_equal_rows_and_nulls(table, words):
     rows = sorted(((r["doc_id"] or -1, r["text"]) for r in out.select("doc_id", "text").collect()), key=str)
     assert [r[0] for r in rows] == [-1, -1, 1, 1, 7]
     assert D.report(table([])).count() == 0
+
+
+@pytest.mark.parametrize("near_chars", [8, 20])
+def test_short_lines_by_equality(table, near_chars):
+    rng = random.Random(near_chars)
+    pool = [*lines(4, 40), *["".join(rng.choices("ab é", k=rng.randrange(24))) for _ in range(80)], "Les.", "Les", "x", "0123456789abcdefghi", "0123456789abcdefgh"]
+    texts = [None, "", "\n \n\t\n", "Les.\n Les.\t\nLes", *["\n".join(" " * rng.randrange(3) + x for x in rng.choices(pool, k=rng.randrange(1, 9))) for _ in range(40)]]
+    found = defaultdict(set)
+    for r in D.line_classes(table(texts).repartition(3), near_chars=near_chars).collect():
+        found[r["class_id"]].add((r["doc_id"], r["pos"], r["kept"]))
+    # every pair of lines that are not blank, whatever their lengths
+    where = defaultdict(list)
+    for d, t in enumerate(texts):
+        for p, line in enumerate((t or "").split("\n")):
+            if line.strip(SPACE):
+                where[line.strip(SPACE)].append((d, p))
+    up = {x: x for x in where}
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in combinations(where, 2):
+        if min(len(a), len(b)) >= near_chars and distance(a, b) <= 2:
+            up[root(a)] = root(b)
+    classes = defaultdict(list)
+    for x, places in where.items():
+        classes[root(x)] += places
+    want = {frozenset(c) for c in classes.values() if len(c) > 1}
+    assert {frozenset((d, p) for d, p, _ in c) for c in found.values()} == want
+    assert any(len(x) < near_chars and len(places) > 1 for x, places in where.items())
+    for c in found.values():
+        assert [x[:2] for x in c if x[2]] == [min(c)[:2]]
+
+
+def test_report_drops_equal_short_lines(table):
+    texts = ["Les.\n\nown words that nobody else has at all", "Les.\n\nLes", " Les. "]
+    got = {r["doc_id"]: (r["n_dropped"], r["kept_sha256"]) for r in D.report(table(texts)).collect()}
+    sha = lambda x: hashlib.sha256(x).hexdigest()
+    assert got == {0: (0, sha(texts[0].encode())), 1: (1, sha(b"\nLes")), 2: (1, sha(b""))}

@@ -1,16 +1,17 @@
 """Line deduplication by a segment-partition edit join.
 
-Lines are what \\n separates, trimmed of [\\x20\\x09-\\x0D].  Two lines of at least `MIN_CHARS` code points are linked when
-equal or within `TAU` edits; classes are the components of links.  Of each class the first line (by doc_id, then its
-place) stays, and the others are taken out of their documents.  Shorter lines are left alone: within two edits of
-another line is next to nothing there.
+Lines are what \\n separates, trimmed of [\\x20\\x09-\\x0D].  Lines are linked when equal, and lines of at least `NEAR_CHARS`
+code points also when within `TAU` edits: in shorter ones two edits leave too little of a line to call it the same.
+Classes are the components of links.  Of each class the first line (by doc_id, then its place) stays, and the others are
+taken out of their documents.  Blank lines are left alone.
 
 1. Every line that a task has not met before is cut into TAU + 1 segments (its index entries), and asks, for each length
    that it may be matched with, for the substrings that multi-match-aware selection leaves.  Only 64-bit keys travel.
 2. Keys that an index entry shares with another line leave candidates; their lines are read again, once each.
 3. Candidates meet under their key, cut into cells of blocks where a key has very many; a banded bit-parallel edit
    distance decides, lines already connected are not compared, and a spanning star leaves the task.
-4. Components, the first line of each class, and its other lines follow by joins on line hashes (128 bits).
+4. Lines without links, the short ones among them, are classed by equality of their hashes in one aggregate.
+   Components, the first line of each class, and its other lines follow by joins on line hashes (128 bits).
 
 Edge cases: null text has one empty line; equal rows (same id and text) are one document, and each gets its result; an
 id with several texts counts as several documents in the order of a hash; a null id comes first; an empty table gives an
@@ -32,7 +33,7 @@ from pyspark.sql.types import StringType
 from tidemark.llm.common import release, small_batches, stored, tidy
 from tidemark.llm.components import connected
 
-TAU, MIN_CHARS = 2, 20
+TAU, MIN_CHARS, NEAR_CHARS = 2, 1, 20
 _TRIM = " \t\x0b\x0c\r"
 #: Rows up to which a small side is broadcast; a larger one is joined by shuffling.
 BROADCAST_ROWS = 400_000
@@ -253,7 +254,7 @@ def _small(df: DataFrame, rows: int | None = None) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
-def line_links(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS, block: int = 512) -> tuple[DataFrame, DataFrame]:
+def line_links(docs: DataFrame, tau: int = TAU, min_chars: int = NEAR_CHARS, block: int = 512) -> tuple[DataFrame, DataFrame]:
     """Edges (a, b) between hashes of different lines that connect what links within tau connect, and the lines' (h1, h2)."""
     small_batches(docs.sparkSession)
     keys = docs.select("text").mapInArrow(tidy(_keys(tau, max(min_chars, tau + 1))), "key long, h1 long, indexed boolean")
@@ -271,9 +272,9 @@ def line_links(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS, bloc
     return edges, text.select("h1", "h2")
 
 
-def line_classes(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS) -> DataFrame:
-    """doc_id, uid, pos, class_id, kept of each line in a class of two lines or more; kept: it is the first of its class."""
-    edges, known = line_links(docs, tau, min_chars)
+def line_classes(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS, near_chars: int = NEAR_CHARS) -> DataFrame:
+    """doc_id, uid, pos, class_id, kept of each line of min_chars in a class of two lines or more; kept: it is the first of its class.  Lines under near_chars are classed by equality alone."""
+    edges, known = line_links(docs, tau, max(min_chars, near_chars))
     named = connected(edges)
     named = named.unionByName(named.select(F.col("component").alias("node"), "component")).distinct().withColumnRenamed("node", "h1")
     named = stored(known.join(named, "h1"), "lines-classes")
