@@ -5,7 +5,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tidemark.llm import simhash
+from tidemark.llm import simhash, suffix_dedup
 from tidemark.llm.components import connected
 
 
@@ -106,3 +106,14 @@ def test_components_of_paths_and_stars(spark):
     got = {r["node"]: r["component"] for r in connected(df).collect()}
     assert got == {**{k: 100 for k in range(101, 161)}, **{k: 1 for k in range(2, 60)}}
     assert connected(df.limit(0)).count() == 0
+
+
+def test_representatives_of_repeated_rows_and_null_ids(table, words):
+    a, b, c, d, e = (words(90, k) for k in range(5))
+    docs = table([(1, a), (1, a), (2, a), (None, a), (3, b), (4, b), (4, b), (None, c), (None, c), (None, c), (None, d), (7, d), (7, d), (8, e), (8, words(90, 9)), (None, None), (None, "")], extra=True)
+    kept = simhash.representatives(docs.repartition(4))
+    assert kept.columns == docs.columns
+    got = [(r["doc_id"], r["text"] or "") for r in kept.select("doc_id", "text").collect()]
+    assert sorted(got, key=str) == sorted([(1, a), (3, b), (None, c), (7, d), (8, e), (8, words(90, 9)), (None, "")], key=str)
+    rest = suffix_dedup.removed(kept)
+    assert sorted([(r["doc_id"], r["text"] or "") for r in rest.select("doc_id", "text").collect()], key=str) == sorted(got, key=str)

@@ -54,7 +54,7 @@ def fingerprint(text: str | None, shingle: int = 4, seed: int = 42) -> int:
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found = np.array([fingerprint(t) for t in batch.column(1).to_pylist()], np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found)], names=["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found), *batch.columns[2:]], names=["doc_id", "fp", *batch.schema.names[2:]])
 
 
 def layout(nodes: int, distance: int) -> list[tuple[int, int, int]]:
@@ -176,10 +176,24 @@ def near_duplicates(docs: DataFrame, distance: int = 4, block: int = 8192) -> Da
 
 
 def representatives(docs: DataFrame, distance: int = 4, block: int = 8192) -> DataFrame:
-    """One row of docs for each component: the first (in an arbitrary order) of those that have its smallest doc_id; a component without ids keeps all its rows."""
-    found = near_duplicates(docs, distance, block).select("doc_id", "component_id")
-    own = fresh(docs, "keep")
-    keep = stored(found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias(own)).distinct(), "simhash-keep")
-    loose = found.where(F.col("component_id").isNull()).limit(1).count()
-    kept = docs.join(keep, F.col("doc_id").cast("long") == F.col(own), "left_semi")
-    return kept.unionByName(docs.where(F.col("doc_id").isNull())) if loose else kept
+    """One row of docs for each component of fingerprints: one that has its smallest doc_id (of several texts with that id, the least by hash; ids before null), whether or not the component has ids."""
+    small_batches(docs.sparkSession)
+    ident = [F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2")]
+    prints = docs.select(ident[0], "text", *ident[1:]).mapInArrow(tidy(_fingerprints), "doc_id long, fp long, h1 long, h2 long")
+    # Rows of one id and text are counted as one.
+    prints = stored(prints.groupBy("doc_id", "fp", "h1", "h2").agg(F.count(F.lit(1)).alias("n")), "simhash-rows")
+    # A fingerprint is its own node here: ids may be missing, or shared by different texts.
+    nodes = stored(prints.select("fp", F.col("fp").alias("node")).distinct(), "simhash-nodes")
+    of_node = stored(connected(near_links(nodes, distance, block)), "simhash-components")
+    rows = prints.join(of_node.withColumnRenamed("node", "fp"), "fp", "left").select(F.coalesce("component", "fp").alias("c"), F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h1", "h2", "n").alias("row"))
+    names = [fresh(docs, k) for k in ("keep_id", "keep_h1", "keep_h2")]
+    keep = rows.groupBy("c").agg(F.min("row").alias("row")).select(*[F.col(f"row.{k}").alias(v) for k, v in zip(("doc_id", "h1", "h2"), names, strict=True)], "row.n")
+    keep = stored(keep, "simhash-keep")
+    of_row = [F.col("doc_id").cast("long"), F.xxhash64("text"), F.xxhash64(F.lit(1), "text")]
+    same = of_row[0].eqNullSafe(F.col(names[0])) & (of_row[1] == F.col(names[1])) & (of_row[2] == F.col(names[2]))
+    kept = docs.join(keep.where("n = 1").drop("n"), same, "left_semi")
+    repeated = keep.where("n > 1").drop("n")
+    if not repeated.limit(1).count():
+        return kept
+    one = docs.join(repeated, same).groupBy(*names).agg(F.first(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias("row"))
+    return kept.unionByName(one.select("row.*"))
