@@ -117,3 +117,9 @@ def test_representatives_of_repeated_rows_and_null_ids(table, words):
     assert sorted(got, key=str) == sorted([(1, a), (3, b), (None, c), (7, d), (8, e), (8, words(90, 9)), (None, "")], key=str)
     rest = suffix_dedup.removed(kept)
     assert sorted([(r["doc_id"], r["text"] or "") for r in rest.select("doc_id", "text").collect()], key=str) == sorted(got, key=str)
+
+
+def test_unsettled_components_raise(spark):
+    df = spark.createDataFrame([(k, k + 1) for k in range(200)], "a long, b long")
+    with pytest.raises(RuntimeError):
+        connected(df, rounds=1)

@@ -32,7 +32,8 @@ def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def connected(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """node, component (the least node) of every node of edges (a, b) that is not its own component's least.
 
-    Each round moves every neighbour to the least one seen (large star, then small star); it stops when nothing moves.
+    Each round moves every neighbour to the least one seen (large star, then small star); it stops when nothing moves,
+    and raises an error if that has not been seen within `rounds`.
     Minima are written before they are joined, so both sides of the join are dealt by the join itself and a node with
     very many neighbours can be split.
     """
@@ -51,4 +52,6 @@ def connected(edges: DataFrame, rounds: int = 60) -> DataFrame:
         least = stored(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = stored(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+    else:
+        raise RuntimeError(f"components are not settled after {rounds} rounds")
     return e.select(F.col("u").alias("node"), F.col("v").alias("component"))
