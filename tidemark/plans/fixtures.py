@@ -60,8 +60,8 @@ def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A line for each nation through its customers in order of id, at most some hundred vertices of each (ids up to 400)."""
-    t = transects(spark, sf_dir).where("id <= 400")
+    """A line for each nation through all its customers in order of id."""
+    t = transects(spark, sf_dir)
     return t.groupBy("country").agg(F.array_sort(F.collect_list(F.struct("id", "lon", "lat"))).alias("v")).select("country", F.transform("v", lambda s: point(s["lon"], s["lat"])).alias("line"))
 
 
