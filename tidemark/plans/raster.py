@@ -140,12 +140,13 @@ def otsu_threshold(spark, d):
 SELECT CAST(y AS INT) AS y, CAST(x AS INT) AS x, CAST(round_even(red * 10000, 0) AS SMALLINT) AS red, CAST(round_even((nir - red) / (nir + red) * 10000, 0) AS SMALLINT) AS NDVI FROM m"""
 )
 def cube_pipeline(spark, d):
-    """The fluent builder from search to storage."""
+    """The fluent builder from search to storage; the search box is the globe, which covers every footprint."""
     from tidemark.operators.cubes import RasterCube
 
     p = fx.pixels(spark, d)
-    items = p.select("cube_id").distinct().select("cube_id", F.col("cube_id").cast("double").alias("xmin"), F.lit(0.0).alias("ymin"), F.col("cube_id").cast("double").alias("xmax"), F.lit(1.0).alias("ymax"), F.col("cube_id").alias("id"))
-    cube = RasterCube(items, p, ("red", "nir"), item_key="cube_id").search((-1.0, 0.0, 99.5, 1.0)).load(["red", "nir"])
+    lon, lat = (F.col("cube_id") * 37) % 3600 / 10.0 - 180.0, (F.col("cube_id") * 53) % 1600 / 10.0 - 80.0
+    items = p.select("cube_id").distinct().select("cube_id", lon.alias("xmin"), lat.alias("ymin"), (lon + 0.1).alias("xmax"), (lat + 0.1).alias("ymax"), F.col("cube_id").alias("id"))
+    cube = RasterCube(items, p, ("red", "nir"), item_key="cube_id").search((-180.0, -90.0, 180.0, 90.0)).load(["red", "nir"])
     cube = cube.mask_and_scale(mask_scene=["cloud medium probability", "cloud high probability"]).composite("median").add_spectral_indices(["NDVI"]).optimize_for_storage(10000, -9999)
     return cube.execute().select("y", "x", "red", "NDVI")
 
