@@ -1,4 +1,4 @@
-"""Removal of long repeated byte strings by merging sorted suffix shards.
+"""Removal of long repeated byte strings by sorting the contexts of anchors (no shards are sorted and merged).
 
 A byte goes if a string of `length` bytes that covers it also starts anywhere else, in the same document or another.
 
