@@ -6,6 +6,7 @@ import ctypes
 import functools
 import tempfile
 import uuid
+import weakref
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -38,16 +39,31 @@ def stored(df: DataFrame, kind: str = "t") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _PATHS[id(out)] = path
+    weakref.finalize(out, _PATHS.pop, id(out), None)
+    return out
+
+
+#: Paths of the tables that stored() returned, while their DataFrames live.
+_PATHS: dict[int, str] = {}
 
 
 def forget(df: DataFrame) -> None:
-    """Delete a table made by stored() once nothing lazy reads it any more."""
+    """Delete a table made by stored(), when nothing that is still to run reads it."""
     spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(name)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_PATHS[id(df)])
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: Bytes up to which a side of a join is broadcast.
+BROADCAST_BYTES = 32 << 20
+
+
+def small(df: DataFrame, row_bytes: int, rows: int | None = None) -> DataFrame:
+    """df to be broadcast if its rows, of row_bytes and 16 more each, are counted to be at most BROADCAST_BYTES; else as it is."""
+    rows = df.count() if rows is None else rows
+    return F.broadcast(df) if rows * (row_bytes + 16) <= BROADCAST_BYTES else df
 
 
 #: Bytes of an Arrow batch.  Whole texts can be long, and the JVM and a Python worker both hold a batch.

@@ -1,50 +1,88 @@
-"""Removal of long repeated byte strings by sorting the contexts of anchors (no shards are sorted and merged).
-
-A byte goes if a string of `length` bytes that covers it also starts anywhere else, in the same document or another.
-
-Sorting every suffix of a corpus is needless: a suffix matters only if its first `length` bytes occur twice.  So the
-suffix array is a sampled one.  Every window of `length` bytes has an anchor, the position whose GRAM-byte hash is least
-in it (the first of equals); equal windows have the anchor at the same offset, so only windows whose anchors have equal
-hashes can be equal, whatever they are.
-1. Anchor hashes are counted over all documents; those met once are done with.
-2. Around each other anchor, the bytes of all windows that have it are read: a suffix that starts at the anchor, and what
-   precedes it (the Burrows-Wheeler context, here of many bytes).  Records of one hash are brought together.  Each task
-   sends a context that it meets again and again twice only: from the third on it is known to repeat.
-3. Few records of one hash are compared directly.  More are merged as Burrows-Wheeler transforms of shards are: an
-   interleave of the shards is refined symbol by symbol (of eight bytes), within blocks not yet told apart, once for the
-   suffixes and once for the contexts; the step at which neighbours part gives their common prefix, and suffixes are
-   never sorted anew.  A window at offset o repeats if another record is in its block at depth length - o of the one
-   interleave and at depth o of the other.
-4. A hash with more than `hot` records is not gathered: digests (128 bits) of its single windows are dealt out instead.
+"""Removal of long repeated strings by merging Burrows-Wheeler transforms of shards of anchored suffixes.
+
+A symbol (a byte, or a word) goes if a string of `length` symbols that covers it also starts anywhere else, in the same
+document or another.
+
+Suffixes matter only if their first `length` symbols occur twice, so the suffix array is a sampled one.  Every window of
+`length` symbols has an anchor: the position whose hash of `gram` symbols is least in it (the first of equals).  Equal
+windows have their anchors at the same offset.
+1. Anchor hashes are counted over all documents; what is met once is done with.
+2. The context of an anchor is all windows that have it.  Contexts are counted by their 128-bit digests: equal ones repeat
+   as they are, and only one of each kind goes on, and only if its anchor has other kinds too.
+3. A record is a core (the symbols that all its windows share, as a 128-bit digest), a suffix to the right of the core and
+   a reversed prefix to the left.  Records of one core meet in a task.  An anchor of k kinds of context is dealt out by
+   classes of W * GROUP / k window offsets (W at most, 1 at least), whose longer cores are the finer keys; so no core
+   brings more than about W * GROUP windows together, whatever k is.  With classes of one window, sides are empty and
+   equal records of a task are sent twice at most.
+4. A task cuts its records into shards of SHARD rows and makes the positional Burrows-Wheeler transform of each: symbols of
+   column j in the order of what follows them.  Shards are merged by refining their interleave column by column: the next
+   symbol of each shard's transform is read in the order of the interleave, which is then dealt stably by these symbols.
+   Suffixes are not sorted anew.  Common prefixes of neighbours in the merged order give the intervals at every depth; a
+   window repeats if another record is in its interval of suffixes and in its interval of reversed prefixes.
+
+Words are what white space separates; they are compared by 64-bit hashes, strings of them by the above.
 
 Edge cases: null text counts as empty; texts shorter than `length` lose nothing; overlapping repeats within a text count;
 equal rows are copies of each other; null and repeated ids are fine; any bytes and lengths are taken; other columns pass
-through removed() untouched.  Removal may cut a character; removed() then drops the loose bytes of it.
+through removed() untouched.  Removal of bytes may cut a character; removed() then drops the loose bytes of it.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
-from tidemark.llm.common import release, small_batches, stored, tidy
+from tidemark.llm.common import forget, fresh, small, small_batches, stored, tidy
 
-LENGTH, GRAM, HOT = 400, 64, 20_000
-#: A buffer holds whole documents of up to so many bytes, or a part of a longer one.
-CHUNK = 1 << 20
+#: Records of an anchor up to which it is not split, and rows of a shard.
+GROUP, SHARD = 4096, 2048
 _POS = (1 << 21) - 1
 _RNG = np.random.Generator(np.random.PCG64(20240501))
 _TABLE = _RNG.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15 | 1
-#: Side tables of up to so many entries are broadcast; larger ones are joined by shuffling.
-BROADCAST_ENTRIES = 1_000_000
+_WORD, _GAP = re.compile(rb"[^\x20\x09-\x0D]+"), re.compile(rb"[\x20\x09-\x0D]")
+_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+#: Bytes of text whose words are hashed at once; words longer than LONG go by XXH3.
+_PIECE, _LONG = 1 << 17, 64
+
+
+@dataclass(frozen=True)
+class Unit:
+    """What symbols are: dtype, symbols of a buffer (a longer text is cut in overlapping parts), default length and gram."""
+
+    dtype: str
+    chunk: int
+    length: int
+    gram: int
+
+    @property
+    def size(self) -> int:
+        return np.dtype(self.dtype).itemsize
+
+    def symbols(self, column: pa.Array) -> list[bytes]:
+        """The texts as bytes of symbols."""
+        texts = _bytes(column)
+        return texts if self.size == 1 else _word_hashes(texts)
+
+
+BYTES = Unit("u1", 1 << 15, 400, 64)
+#: Fifty words: what the corpus pipeline calls a passage.
+WORDS = Unit("<u8", 1 << 15, 50, 8)
+
+
+def _bytes(column: pa.Array) -> list[bytes]:
+    return [(t or "").encode("utf-8", "surrogatepass") for t in column.to_pylist()]
+
+
+# anchors
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -57,24 +95,74 @@ _UP: np.ndarray | None = None
 _DOWN: np.ndarray | None = None
 
 
-def _grams(data: np.ndarray, gram: int) -> np.ndarray:
-    """A 64-bit hash of the gram bytes from each position."""
+def _totals(data: np.ndarray) -> np.ndarray:
+    """Sums of data times rising powers, from which hashes of all its parts follow."""
     global _UP, _DOWN
     if _UP is None or len(_UP) <= len(data):
-        n = max(len(data) + 1, CHUNK + 4096)
+        n = max(len(data) + 1, _PIECE + 4096)
         _UP, _DOWN = _powers(_BASE, n), _powers(pow(_BASE, -1, 1 << 64), n)
     total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_TABLE[data] * _UP[: len(data)], out=total[1:])
-    h = (total[gram:] - total[:-gram]) * _DOWN[: len(data) - gram + 1]
+    np.cumsum((_TABLE[data] if data.itemsize == 1 else data) * _UP[: len(data)], out=total[1:])
+    return total
+
+
+def _stirred(h: np.ndarray) -> np.ndarray:
     h ^= h >> np.uint64(31)
     h *= np.uint64(0xD6E8FEB86659FD93)
     h ^= h >> np.uint64(32)
     return h
 
 
-def anchors(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
+def _grams(data: np.ndarray, gram: int) -> np.ndarray:
+    """A 64-bit hash of the gram symbols from each position."""
+    total = _totals(data)
+    return _stirred((total[gram:] - total[:-gram]) * _DOWN[: len(data) - gram + 1])
+
+
+def _pieces(texts: list[bytes]) -> Iterator[list[tuple[int, bytes]]]:
+    """(number of the text, part of it) of lists of about _PIECE bytes; no word is cut."""
+    rows: list[tuple[int, bytes]] = []
+    held = 0
+    for k, t in enumerate(texts):
+        at = 0
+        while at < len(t):
+            gap = _GAP.search(t, at + _PIECE) if len(t) - at > _PIECE else None
+            end = gap.start() if gap else len(t)
+            rows.append((k, t[at:end]))
+            held += end - at
+            at = end
+            if held >= _PIECE:
+                yield rows
+                rows, held = [], 0
+    if rows:
+        yield rows
+
+
+def _word_hashes(texts: list[bytes]) -> list[bytes]:
+    out: list[list[bytes]] = [[] for _ in texts]
+    for rows in _pieces(texts):
+        joined = b" ".join([t for _, t in rows]) + b" "
+        if len(joined) > 8 * _PIECE:  # a word as long as that
+            for k, t in rows:
+                out[k].append(np.array([xxhash.xxh3_64_intdigest(w) for w in t.split()], np.uint64).tobytes())
+            continue
+        data = np.frombuffer(joined, np.uint8)
+        gap = _SPACE[data]
+        turn = np.flatnonzero(np.diff(np.r_[True, gap]))
+        start, end = turn[::2], turn[1::2]
+        total = _totals(data)
+        h = _stirred((total[end] - total[start]) * _DOWN[start])
+        for i in np.flatnonzero(end - start > _LONG).tolist():
+            h[i] = xxhash.xxh3_64_intdigest(joined[start[i] : end[i]])
+        sizes = np.array([len(t) + 1 for _, t in rows])
+        cut = np.searchsorted(start, np.cumsum(sizes)).tolist()
+        for (k, _), a, b in zip(rows, [0, *cut], cut):
+            out[k].append(h[a:b].tobytes())
+    return [b"".join(x) for x in out]
+
+
+def anchors(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
     """(text number, hash, anchor, first window, last window) of each anchor; texts are data[starts[k]:ends[k]], windows are the positions where they start."""
-    gram = min(gram, length)
     windows = np.maximum(0, ends - starts - length + 1)
     if not windows.sum():
         return tuple(np.zeros(0, np.int64) for _ in range(5))
@@ -95,22 +183,23 @@ def anchors(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int
     return text, h[b].view(np.int64), b, at[edge], at[last]
 
 
-def _buffers(texts: list[bytes], length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(bytes, starts, ends, number of the text, its position in the text) of buffers; parts of a long text overlap by length - 1."""
+def _buffers(texts: list[bytes], unit: Unit, length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(symbols, starts, ends, number of the text, its position in the text) of buffers; parts of a long text overlap by length - 1."""
     rows: list[tuple[bytes, int, int]] = []
-    held = 0
+    held, size, chunk = 0, unit.size, unit.chunk
 
     def full():
-        sizes = np.array([len(r[0]) for r in rows], np.int64)
+        sizes = np.array([len(r[0]) // size for r in rows], np.int64)
         ends = np.cumsum(sizes)
-        return np.frombuffer(b"".join([r[0] for r in rows]), np.uint8), ends - sizes, ends, np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
+        return np.frombuffer(b"".join([r[0] for r in rows]), unit.dtype), ends - sizes, ends, np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
 
     for k, t in enumerate(texts):
-        if len(t) < length:
+        n = len(t) // size
+        if n < length:
             continue
-        for s in range(0, len(t) - length + 1, CHUNK):
-            part = t[s : s + CHUNK + length - 1] if len(t) > CHUNK + length - 1 else t
-            if held + len(part) > CHUNK and rows:
+        for s in range(0, n - length + 1, chunk):
+            part = t[s * size : (s + chunk + length - 1) * size] if n > chunk + length - 1 else t
+            if held + len(part) > chunk * size and rows:
                 yield full()
                 rows, held = [], 0
             rows.append((part, k, s))
@@ -121,15 +210,11 @@ def _buffers(texts: list[bytes], length: int) -> Iterator[tuple[np.ndarray, np.n
         yield full()
 
 
-def _bytes(column: pa.Array) -> list[bytes]:
-    return [(t or "").encode("utf-8", "surrogatepass") for t in column.to_pylist()]
-
-
-def _count(length: int):
+def _count(unit: Unit, length: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for data, starts, ends, _, _ in _buffers(_bytes(batch.column(0)), length):
-                _, h, _, _, _ = anchors(data, starts, ends, length)
+            for data, starts, ends, _, _ in _buffers(unit.symbols(batch.column(0)), unit, length):
+                _, h, _, _, _ = anchors(data, starts, ends, length, gram)
                 if len(h):
                     one, n = np.unique(h, return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array(one), pa.array(n.astype(np.int64))], names=["h", "n"])
@@ -137,26 +222,45 @@ def _count(length: int):
     return run
 
 
-def _locate(length: int):
+_PLACES = "doc_id long, uid long, h long, c1 long, c2 long, b int, p0 int, p1 int"
+
+
+def _locate(unit: Unit, length: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             doc, uid = batch.column(0), batch.column(1)
-            for data, starts, ends, number, offset in _buffers(_bytes(batch.column(2)), length):
-                text, h, b, p0, p1 = anchors(data, starts, ends, length)
+            for data, starts, ends, number, offset in _buffers(unit.symbols(batch.column(2)), unit, length):
+                text, h, b, p0, p1 = anchors(data, starts, ends, length, gram)
                 if len(h):
+                    # the first window's offset tells contexts of the same symbols apart
+                    seeds = (b - p0).tolist()
+                    kinds = [xxhash.xxh3_128_digest(data[s:e], o) for s, e, o in zip(p0.tolist(), (p1 + length).tolist(), seeds, strict=True)]
+                    c = np.frombuffer(b"".join(kinds), "<i8").reshape(-1, 2)
                     shift = (offset - starts)[text]
                     which = pa.array(number[text])
-                    yield pa.RecordBatch.from_arrays([doc.take(which), uid.take(which), pa.array(h), *[pa.array((x + shift).astype(np.int32)) for x in (b, p0, p1)]], names=["doc_id", "uid", "h", "b", "p0", "p1"])
+                    yield pa.RecordBatch.from_arrays(
+                        [doc.take(which), uid.take(which), pa.array(h), pa.array(c[:, 0].copy()), pa.array(c[:, 1].copy()), *[pa.array((x + shift).astype(np.int32)) for x in (b, p0, p1)]],
+                        names=["doc_id", "uid", "h", "c1", "c2", "b", "p0", "p1"],
+                    )
 
     return run
 
 
-RECORD = pa.schema([("key", pa.int64()), ("kind", pa.int8()), ("doc_id", pa.int64()), ("uid", pa.int64()), ("b", pa.int32()), ("p0", pa.int32()), ("p1", pa.int32()), ("context", pa.binary())])
-RECORD_DDL = "key long, kind byte, doc_id long, uid long, b int, p0 int, p1 int, context binary"
-_KNOWN, _CONTEXT, _WINDOW = 0, 1, 2
+# records
+
+
+RECORD = pa.schema([("key", pa.int64()), ("check", pa.int64()), ("doc_id", pa.int64()), ("uid", pa.int64()), ("base", pa.int32()), ("first", pa.int32()), ("last", pa.int32()), ("width", pa.int32()), ("left", pa.binary()), ("right", pa.binary())])
+RECORD_DDL = "key long, check long, doc_id long, uid long, base int, first int, last int, width int, left binary, right binary"
 
 
-def _records(length: int, remembered: int = 1 << 19):
+def class_width(kinds: int, w: int, group: int) -> int:
+    """Window offsets of a class, for an anchor of so many kinds of context."""
+    return w if kinds <= group else max(1, w * group // kinds)
+
+
+def _records(unit: Unit, length: int, gram: int, group: int, once: bool, remembered: int = 1 << 19):
+    w, size = length - gram + 1, unit.size
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[int, int] = {}
         rows: list[tuple] = []
@@ -164,39 +268,42 @@ def _records(length: int, remembered: int = 1 << 19):
 
         def again(digest: int) -> bool:
             """Whether two records like this one have been sent."""
+            if once:
+                return False
             if len(seen) >= remembered:
                 seen.clear()
             n = seen[digest] = seen.get(digest, 0) + 1
             return n > 2
 
+        def full() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), RECORD, strict=True)], schema=RECORD)
+
         for batch in batches:
-            docs, uids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist(), _bytes(batch.column(2))
+            docs, uids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist(), unit.symbols(batch.column(2))
             for doc, uid, text, found in zip(docs, uids, texts, batch.column(3).to_pylist(), strict=True):
                 known: list[tuple[int, int]] = []
                 for a in found:
-                    h, b, p0, p1 = a["h"], a["b"], a["p0"], a["p1"]
-                    if a["hot"]:
-                        for p in range(p0, p1 + 1):
-                            digest = xxhash.xxh3_128_digest(text[p : p + length])
-                            if again(int.from_bytes(digest, "little")):
-                                known.append((p, p))
-                            else:
-                                rows.append((int.from_bytes(digest[:8], "little", signed=True), _WINDOW, doc, uid, b, p, p, digest))
-                                held += 80
-                        continue
-                    context = text[p0 : p1 + length]
-                    if again(xxhash.xxh3_128_intdigest(context, (h ^ (b - p0)) & ((1 << 64) - 1))):
-                        known.append((p0, p1))
-                    else:
-                        rows.append((h, _CONTEXT, doc, uid, b, p0, p1, context))
-                        held += len(context)
-                for p0, p1 in _joined(known):
-                    rows.append((xxhash.xxh64_intdigest(f"{doc} {uid} {p0}") >> 1, _KNOWN, doc, uid, p0, p0, p1, None))
+                    b, p0, p1 = a["b"], a["p0"], a["p1"]
+                    step = class_width(a["kinds"], w, group)
+                    for k in range((b - p1) // step, (b - p0) // step + 1):
+                        width = min(step, w - k * step)
+                        base = b - k * step
+                        low = base - width + 1
+                        first, last = max(p0, low), min(p1, base)
+                        core = xxhash.xxh3_128_intdigest(text[base * size : (low + length) * size], k)
+                        left, right = text[first * size : base * size], text[(low + length) * size : (last + length) * size]
+                        if again(hash((core, left, right))):
+                            known.append((first, last))
+                        else:
+                            rows.append(((core & ((1 << 64) - 1)) - (1 << 63), (core >> 64) - (1 << 63), doc, uid, base, first, last, width, left, right))
+                            held += len(left) + len(right) + 60
+                for first, last in _joined(known):
+                    rows.append(((xxhash.xxh64_intdigest(f"{doc} {uid} {first}") >> 1), 0, doc, uid, first, first, last, 0, None, None))
                 if held > 8 << 20 or len(rows) > 20_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), RECORD, strict=True)], schema=RECORD)
+                    yield full()
                     rows, held = [], 0
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), RECORD, strict=True)], schema=RECORD)
+            yield full()
 
     return run
 
@@ -214,145 +321,128 @@ def _joined(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 # merging
 
 
-def _symbols(parts: list[bytes], size: int) -> np.ndarray:
-    """Rows of eight-byte symbols, big-endian, so that they compare as bytes do."""
-    n = -(-max(1, size) // 8) * 8
-    return np.frombuffer(b"".join([p.ljust(n, b"\0") for p in parts]), ">u8").reshape(len(parts), n // 8).astype(np.uint64)
+def transform(columns: np.ndarray, heads: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Positional Burrows-Wheeler transform of the strings columns[:, i]: (their order under heads, the symbols of each column in the order of what follows it, heads in the order of the strings)."""
+    order = np.arange(columns.shape[1])
+    out = np.empty_like(columns)
+    for j in range(len(columns) - 1, -1, -1):
+        out[j] = columns[j][order]
+        order = order[np.argsort(out[j], kind="stable")]
+    last = heads[order]
+    return order[np.argsort(last, kind="stable")], out, last
 
 
-def _shared(x: np.ndarray) -> np.ndarray:
-    """Common prefix in bytes, from the differences (xor) of rows of symbols."""
-    some = x != 0
-    first = np.argmax(some, axis=1)
-    word = x[np.arange(len(x)), first].astype(np.uint64)
-    for s in (1, 2, 4, 8, 16, 32):
-        word |= word >> np.uint64(s)
-    return np.where(some.any(axis=1), 8 * first + (64 - np.bitwise_count(word).astype(np.int64)) // 8, 8 * x.shape[1])
+def merge(parts: Sequence[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Interleave of shards, from their transforms: the shard of each string in the merged order.
 
-
-def interleave(block: np.ndarray, symbols: np.ndarray, shards: int = 8) -> tuple[np.ndarray, np.ndarray]:
-    """Merge shards of suffixes by refining their interleave; returns the order of the rows and each row's common prefix with the row before it (-1 where a new initial block starts).
-
-    Each shard brings its suffixes in any order of its own; the interleave starts as the shards one after another within
-    the initial blocks.  A step looks at the next symbol of suffixes in blocks of two or more only, deals each block
-    stably by it, and sets where a block parts; what has parted is never looked at again.
+    It starts as the shards one after another.  Each step reads the next symbol of every shard's column in the order of
+    the interleave so far, and deals the interleave stably by these symbols.
     """
-    n, width = symbols.shape
-    order = np.argsort(block, kind="stable")
-    start = np.r_[True, block[order][1:] != block[order][:-1]]
-    common = np.where(start, -1, 8 * width)
-    for step in range(width):
-        group = np.cumsum(start) - 1
-        size = np.bincount(group)
-        act = np.flatnonzero(size[group] > 1)
-        if not len(act):
-            break
-        s = symbols[order[act], step]
-        move = np.lexsort((s, group[act]))
-        order[act] = order[act][move]
-        s = s[move]
-        g = group[act]
-        part = np.r_[False, (s[1:] != s[:-1]) & (g[1:] == g[:-1])]
-        here = act[part]
-        if len(here):
-            word = s[np.flatnonzero(part)].astype(np.uint64) ^ s[np.flatnonzero(part) - 1].astype(np.uint64)
-            for b in (1, 2, 4, 8, 16, 32):
-                word |= word >> np.uint64(b)
-            common[here] = 8 * step + (64 - np.bitwise_count(word).astype(np.int64)) // 8
-            start[here] = True
+    sizes = [len(p[0]) for p in parts]
+    mixed = np.repeat(np.arange(len(parts), dtype=np.uint16), sizes)
+    for column in (*[[p[1][j] for p in parts] for j in range(len(parts[0][1]) - 1, -1, -1)], [p[2] for p in parts]):
+        symbols = np.concatenate(column)
+        read = np.empty_like(symbols)
+        read[np.argsort(mixed, kind="stable")] = symbols
+        mixed = mixed[np.argsort(read, kind="stable")]
+    return mixed
+
+
+def merged(columns: np.ndarray, heads: np.ndarray, shard: int = SHARD) -> tuple[np.ndarray, np.ndarray]:
+    """Order of the strings columns[:, i] by (head, string), and the prefix that each has in common with the one before (-1: another head)."""
+    n = columns.shape[1]
+    parts = [transform(columns[:, s : s + shard], heads[s : s + shard]) for s in range(0, n, shard)]
+    if len(parts) == 1:
+        order = parts[0][0]
+    else:
+        order = np.empty(n, np.int64)
+        order[np.argsort(merge(parts), kind="stable")] = np.concatenate([p[0] + k * shard for k, p in enumerate(parts)])
+    common = np.full(n, -1)
+    common[1:] = len(columns)
+    if len(columns):
+        ranked = columns[:, order]
+        apart = ranked[:, 1:] != ranked[:, :-1]
+        common[1:] = np.where(apart.any(axis=0), apart.argmax(axis=0), len(columns))
+    h = heads[order]
+    common[1:][h[1:] != h[:-1]] = -1
     return order, common
 
 
-def _depth_blocks(order: np.ndarray, common: np.ndarray, depth: int) -> np.ndarray:
-    out = np.empty(len(order), np.int64)
-    out[order] = np.cumsum(common < depth)
-    return out
-
-
-def repeated(key: np.ndarray, b: np.ndarray, p0: np.ndarray, p1: np.ndarray, contexts: list[bytes], length: int = LENGTH, few: int = 12) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(record, first, last) of repeated windows among records sorted by key."""
-    n = len(key)
-    edge = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-    size = np.diff(np.r_[edge, n])
-    run = np.repeat(np.arange(len(edge)), size)
-    low, high = b - p1, b - p0
-    at = np.flatnonzero((size[run] > 1) & (size[run] <= few))
-    many = np.flatnonzero(size[run] > few)
-    for rows in (at, many):
-        if not len(rows):
-            continue
-        right = _symbols([contexts[k][high[k] :] for k in rows], length)
-        left = _symbols([contexts[k][: high[k]][::-1] for k in rows], int(high[rows].max()))
-        if rows is at:
-            group, i, shift = run[rows], np.arange(len(rows)), 1
-            while True:
-                i = i[i + shift < len(rows)]
-                i = i[group[i] == group[i + shift]]
-                if not len(i):
-                    break
-                j = i + shift
-                r = _shared(right[i] ^ right[j])
-                el = _shared(left[i] ^ left[j])
-                x, y = rows[i], rows[j]
-                o0 = np.maximum(np.maximum(low[x], low[y]), length - r)
-                o1 = np.minimum(np.minimum(high[x], high[y]), el)
-                hit = o0 <= o1
-                for z in (x, y):
-                    yield z[hit], b[z[hit]] - o1[hit], b[z[hit]] - o0[hit]
-                shift += 1
+def _columns(sides: list[bytes], unit: Unit, reverse: bool) -> np.ndarray:
+    n = max(map(len, sides))
+    if not n:
+        return np.empty((0, len(sides)), unit.dtype)
+    m = np.frombuffer(b"".join([s.rjust(n, b"\0") if reverse else s.ljust(n, b"\0") for s in sides]), unit.dtype).reshape(len(sides), -1)
+    return np.ascontiguousarray((m[:, ::-1] if reverse else m).T)
+
+
+def repeated(core: np.ndarray, base: np.ndarray, first: np.ndarray, last: np.ndarray, width: np.ndarray, left: list[bytes], right: list[bytes], unit: Unit, rank: np.ndarray | None = None, shard: int = SHARD) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(record, first, last) of repeated windows among records of numbered cores; with ranks, of repeated windows that are not those of least rank."""
+    n = len(core)
+    heads = core.astype(np.uint16) if n < 1 << 16 else core
+    order_r, common_r = merged(_columns(right, unit, False), heads, shard)
+    order_l, common_l = merged(_columns(left, unit, True), heads, shard)
+    least, most = base - last, base - first
+    who, at = [], []
+    block_r, block_l = np.empty(n, np.int64), np.empty(n, np.int64)
+    for t in range(int(least.min()), int(most.max()) + 1):
+        live = np.flatnonzero((least <= t) & (t <= most))
+        if len(live) < 2:
             continue
-        group = run[rows]
-        order_r, common_r = interleave(group, right)
-        order_l, common_l = interleave(group, left)
-        lo, hi = low[rows], high[rows]
-        marked: list[tuple[np.ndarray, np.ndarray]] = []
-        for o in range(int(lo.min()), int(hi.max()) + 1):
-            live = np.flatnonzero((lo <= o) & (hi >= o))
-            if len(live) < 2:
-                continue
-            both = _depth_blocks(order_r, common_r, length - o)[live] * (len(rows) + 1) + _depth_blocks(order_l, common_l, o)[live]
-            _, place, times = np.unique(both, return_inverse=True, return_counts=True)
-            hit = live[times[place] > 1]
-            marked.append((hit, np.full(len(hit), o)))
-        if sum(len(m[0]) for m in marked):
-            who, o = np.concatenate([m[0] for m in marked]), np.concatenate([m[1] for m in marked])
-            move = np.lexsort((o, who))
-            who, o = who[move], o[move]
-            first = np.flatnonzero(np.r_[True, (who[1:] != who[:-1]) | (o[1:] != o[:-1] + 1)])
-            last = np.r_[first[1:], len(who)] - 1
-            z = rows[who[first]]
-            yield z, b[z] - o[last], b[z] - o[first]
+        block_r[order_r] = np.cumsum(common_r < (width - 1 - t)[order_r])
+        block_l[order_l] = np.cumsum(common_l < t)
+        both = block_r[live] * (n + 1) + block_l[live]
+        order = np.argsort(both) if rank is None else np.lexsort((rank[live], both))
+        both = both[order]
+        same = both[1:] == both[:-1]
+        hit = np.r_[False, same] if rank is not None else np.r_[False, same] | np.r_[same, False]
+        hit = live[order[hit]]
+        if len(hit):
+            who.append(hit)
+            at.append(np.full(len(hit), t))
+    if not who:
+        return tuple(np.zeros(0, np.int64) for _ in range(3))
+    z, t = np.concatenate(who), np.concatenate(at)
+    order = np.lexsort((t, z))
+    z, t = z[order], t[order]
+    edge = np.flatnonzero(np.r_[True, (z[1:] != z[:-1]) | (t[1:] != t[:-1] + 1)])
+    end = np.r_[edge[1:], len(z)] - 1
+    z = z[edge]
+    return z, base[z] - t[end], base[z] - t[edge]
 
 
 SPAN = "doc_id long, uid long, first int, last int"
 
 
-def _spans(length: int):
+def _spans(unit: Unit, once: bool, rows_held: int = 12_000):
     def solve(held: pa.Table) -> Iterator[pa.RecordBatch]:
-        kind = held["kind"].to_numpy()
         doc, uid = held["doc_id"].combine_chunks(), held["uid"].combine_chunks()
 
         def out(rows: np.ndarray, first: np.ndarray, last: np.ndarray) -> pa.RecordBatch:
             which = pa.array(rows)
             return pa.RecordBatch.from_arrays([doc.take(which), uid.take(which), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32))], names=["doc_id", "uid", "first", "last"])
 
-        key, b, p0, p1 = (held[c].to_numpy().astype(np.int64) for c in ("key", "b", "p0", "p1"))
-        known = np.flatnonzero(kind == _KNOWN)
+        key, check, base, first, last, width = (held[c].to_numpy().astype(np.int64) for c in ("key", "check", "base", "first", "last", "width"))
+        known = np.flatnonzero(width == 0)
         if len(known):
-            yield out(known, p0[known], p1[known])
-        windows = np.flatnonzero(kind == _WINDOW)
-        if len(windows):
-            digest = np.array(held["context"].take(pa.array(windows)).to_pylist(), dtype="V16")
-            _, place, times = np.unique(digest, return_inverse=True, return_counts=True)
-            hit = windows[times[place] > 1]
-            if len(hit):
-                yield out(hit, p0[hit], p1[hit])
-        rows = np.flatnonzero(kind == _CONTEXT)
-        if len(rows):
-            contexts = held["context"].take(pa.array(rows)).to_pylist()
-            for z, first, last in repeated(key[rows], b[rows], p0[rows], p1[rows], contexts, length):
-                if len(z):
-                    yield out(rows[z], first, last)
+            yield out(known, first[known], last[known])
+        start = np.r_[True, (key[1:] != key[:-1]) | (check[1:] != check[:-1]) | (width[1:] == 0) | (width[:-1] == 0)]
+        core = np.cumsum(start) - 1
+        rows = np.flatnonzero(np.bincount(core)[core] > 1)
+        if not len(rows):
+            return
+        _, core = np.unique(core[rows], return_inverse=True)
+        rank = None
+        if once:
+            ids, uids = doc.fill_null(-(1 << 63)).to_numpy(), uid.to_numpy()
+            rank = np.empty(len(key), np.int64)
+            rank[np.lexsort((base, uids, ids))] = np.arange(len(key))
+            rank = rank[rows]
+        which = pa.array(rows)
+        left, right = held["left"].take(which).to_pylist(), held["right"].take(which).to_pylist()
+        z, a, b = repeated(core, base[rows], first[rows], last[rows], width[rows], left, right, unit, rank)
+        if len(z):
+            yield out(rows[z], a, b)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -362,7 +452,7 @@ def _spans(length: int):
                 continue
             held.append(batch)
             n += batch.num_rows
-            if n >= 12_000:
+            if n >= rows_held:
                 t = pa.Table.from_batches(held)
                 key = t["key"].to_numpy()
                 cut = int(np.searchsorted(key, key[-1]))
@@ -375,32 +465,39 @@ def _spans(length: int):
     return run
 
 
-def _small(df: DataFrame, entries: int) -> DataFrame:
-    return F.broadcast(df) if entries <= BROADCAST_ENTRIES else df
-
-
 def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("uid"), "text")
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
-    """doc_id, uid, spans: the first and last positions of runs of windows that start elsewhere too, of each document that has some."""
+def repeated_spans(docs: DataFrame, unit: Unit = BYTES, length: int | None = None, keep_first: bool = False, group: int = GROUP) -> DataFrame:
+    """doc_id, uid, spans: the first and last positions (in units) of runs of windows that start elsewhere too, of each document that has some.  keep_first: but for the window of the smallest doc_id, then position."""
     small_batches(docs.sparkSession)
+    length = length or unit.length
+    gram = min(unit.gram, length)
     base = _keyed(docs)
-    seen = base.select("text").mapInArrow(tidy(_count(length)), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1")
-    seen = stored(seen.select("h", (F.col("n") > hot).alias("hot")), "suffix-anchors")
-    where = base.mapInArrow(tidy(_locate(length)), "doc_id long, uid long, h long, b int, p0 int, p1 int")
-    where = where.join(_small(seen, seen.count()), "h")
-    per = stored(where.groupBy("doc_id", "uid").agg(F.collect_set(F.struct("h", "b", "p0", "p1", "hot")).alias("found")), "suffix-candidates")
-    named = per.select(F.col("doc_id").alias("d"), F.col("uid").alias("u"), "found")
-    with_text = base.join(named, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("uid") == F.col("u"))).select("doc_id", "uid", "text", "found")
-    records = with_text.mapInArrow(tidy(_records(length)), RECORD_DDL)
-    spans = records.repartition("key").sortWithinPartitions("key").mapInArrow(tidy(_spans(length)), SPAN)
-    return spans.groupBy("doc_id", "uid").agg(F.collect_set(F.struct("first", "last")).alias("spans"))
+    seen = base.select("text").mapInArrow(tidy(_count(unit, length, gram)), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h")
+    seen = stored(seen, "suffix-anchors")
+    places = stored(base.mapInArrow(tidy(_locate(unit, length, gram)), _PLACES).join(small(seen, 8), "h"), "suffix-places")
+    forget(seen)
+    # Which of equal contexts goes on: the first, or with less work any.
+    place = F.struct("doc_id", "uid", "b") if keep_first else F.xxhash64("uid", "b")
+    kinds = stored(places.groupBy("h", "c1", "c2").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("lead")), "suffix-kinds")
+    per = kinds.groupBy("h").agg(F.count(F.lit(1)).alias("kinds"))
+    told = kinds.join(per, "h").where("n > 1 or kinds > 1")
+    found = stored(places.join(told, ["h", "c1", "c2"]).select("doc_id", "uid", "b", "p0", "p1", "n", "kinds", (place == F.col("lead") if not keep_first else place.eqNullSafe(F.col("lead"))).alias("leads")), "suffix-found")
+    forget(places), forget(kinds)
+    alike = found.where("n > 1 and not leads" if keep_first else "n > 1").select("doc_id", "uid", F.col("p0").alias("first"), F.col("p1").alias("last"))
+    asks = found.where("leads and kinds > 1").groupBy(F.col("doc_id").alias("d"), F.col("uid").alias("u")).agg(F.collect_set(F.struct("b", "p0", "p1", "kinds")).alias("found"))
+    with_text = base.join(asks, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("uid") == F.col("u"))).select("doc_id", "uid", "text", "found")
+    records = with_text.mapInArrow(tidy(_records(unit, length, gram, group, keep_first)), RECORD_DDL)
+    spans = records.repartition("key").sortWithinPartitions("key", "check").mapInArrow(tidy(_spans(unit, keep_first)), SPAN)
+    out = stored(spans.unionByName(alike).groupBy("doc_id", "uid").agg(F.collect_set(F.struct("first", "last")).alias("spans")), "suffix-spans")
+    forget(found)
+    return out
 
 
 def holes(spans: Sequence[dict] | None, length: int) -> list[tuple[int, int]]:
-    """Maximal removed runs of bytes (start, end), from spans of window starts."""
+    """Maximal removed runs (start, end), from spans of window starts."""
     return [(a, b + 1) for a, b in _joined([(s["first"], s["last"] + length - 1) for s in (() if spans is None else spans)])]
 
 
@@ -413,47 +510,52 @@ def _kept(data: bytes, gone: list[tuple[int, int]]) -> bytes:
     return b"".join(out)
 
 
-def _with_spans(docs: DataFrame, length: int, hot: int) -> DataFrame:
-    """row (all columns of docs), text, spans."""
-    spans = stored(repeated_spans(docs, length, hot), "suffix-spans")
-    spans = spans.select(F.col("doc_id").alias("d"), F.col("uid").alias("u"), "spans")
-    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("uid"))
-    return rows.join(spans, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("uid") == F.col("u")), "left").select("row", "doc_id", F.col("row.text").alias("text"), "spans")
+def _with_spans(rows: DataFrame, docs: DataFrame, name: str, *how, **more) -> DataFrame:
+    """rows (doc_id, uid, ...) with the spans of docs in column `name`."""
+    spans = repeated_spans(docs, *how, **more).select(F.col("doc_id").alias("d"), F.col("uid").alias("u"), F.col("spans").alias(name))
+    return rows.join(spans, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("uid") == F.col("u")), "left").drop("d", "u")
 
 
-def report(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of each row of docs (doc_id, text)."""
+def report(docs: DataFrame, length: int = BYTES.length, words: int = WORDS.length, group: int = GROUP) -> DataFrame:
+    """Of each row of docs (doc_id, text): doc_id, n_bytes, n_removed, n_spans, kept_sha256 by strings of `length` bytes; n_passages, n_passage_words: runs of words that strings of `words` words cover which also start elsewhere."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for data, spans in zip(_bytes(batch.column(1)), batch.column(2).to_pylist(), strict=True):
-                gone = holes(spans, length)
-                rows.append((len(data), sum(b - a for a, b in gone), len(gone), hashlib.sha256(_kept(data, gone)).hexdigest()))
-            cols = list(zip(*rows, strict=True)) or [[], [], [], []]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, pa.int64()) for c in cols[:3]], pa.array(cols[3], pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
-
-    df = _with_spans(docs.select("doc_id", "text"), length, hot)
-    return df.select("doc_id", "text", "spans").mapInArrow(tidy(run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
-
-
-def removed(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
-    """docs with the repeated bytes taken out of text."""
-
-    def cut(texts, spans):
-        import pandas as pd
+            for data, spans, passages in zip(_bytes(batch.column(1)), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                gone, runs = holes(spans, length), holes(passages, words)
+                rows.append((len(data), sum(b - a for a, b in gone), len(gone), hashlib.sha256(_kept(data, gone)).hexdigest(), len(runs), sum(b - a for a, b in runs)))
+            cols = list(zip(*rows, strict=True)) or [[] for _ in names]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, pa.string() if n == "kept_sha256" else pa.int64()) for n, c in zip(names, cols, strict=True)]], names=["doc_id", *names])
+
+    names = ("n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passages", "n_passage_words")
+    docs = docs.select("doc_id", "text")
+    df = _with_spans(_keyed(docs), docs, "spans", BYTES, length, group=group)
+    df = _with_spans(df, docs, "passages", WORDS, words, group=group)
+    return df.select("doc_id", "text", "spans", "passages").mapInArrow(tidy(run), "doc_id long, " + ", ".join(f"{n} {'string' if n == 'kept_sha256' else 'long'}" for n in names))
+
+
+def removed(docs: DataFrame, unit: Unit = BYTES, length: int | None = None, keep_first: bool = False, group: int = GROUP) -> DataFrame:
+    """docs with repeated strings taken out of text: all of them, or (keep_first) all but the first (by doc_id, then position; equal rows are one document)."""
+    length = length or unit.length
+    names = docs.columns
+    at, extra = names.index("text"), fresh(docs, "spans")
 
-        out = []
-        for t, s in zip(texts, spans, strict=True):
-            if t is None or s is None or not len(s):
-                out.append(t)
-            else:
-                out.append(_kept(t.encode("utf-8", "surrogatepass"), holes(s, length)).decode("utf-8", "ignore"))
-        release()
-        return pd.Series(out, dtype=object)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(at).to_pylist()
+            for k, spans in enumerate(batch.column(len(names)).to_pylist()):
+                if spans and texts[k]:
+                    data = texts[k].encode("utf-8", "surrogatepass")
+                    gone = holes(spans, length)
+                    if unit is not BYTES:
+                        places = [m.span() for m in _WORD.finditer(data)]
+                        gone = [(places[a][0], places[b - 1][1]) for a, b in gone]
+                    texts[k] = _kept(data, gone).decode("utf-8", "ignore")
+            columns = batch.columns[: len(names)]
+            columns[at] = pa.array(texts, batch.column(at).type)
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[: len(names)])
 
-    names = docs.columns
-    df = _with_spans(docs, length, hot)
-    text = F.when(F.col("spans").isNull(), F.col("text")).otherwise(F.pandas_udf(cut, StringType())("text", "spans"))
-    df = df.select(*[F.col("row")[c].alias(c) for c in names if c != "text"], text.alias("text"))
-    return df.select(*names)
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("uid"))
+    rows = _with_spans(rows, docs, "spans", unit, length, keep_first, group)
+    return rows.select(*[F.col("row")[c].alias(c) for c in names], F.col("spans").alias(extra)).mapInArrow(tidy(run), docs.schema)
