@@ -29,8 +29,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Byte strings of 400 and more that also start elsewhere go."""
-    return suffix_dedup.removed(docs)
+    """Passages of fifty words and more that also start elsewhere go, wherever they are."""
+    return suffix_dedup.removed(docs, suffix_dedup.WORDS)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
