@@ -1,8 +1,8 @@
 """SentencePiece BPE encoding with byte offsets, and decoding.
 
-The normaliser walks the text with the longest prefix of the compiled character map (a double-array trie stored in the
-model file), and notes for each normalised byte the source byte that it comes from; pieces are then projected on
-original byte spans.  Segmentation merges the pair of best score, leftmost first, as the library does; unknown
+The normaliser replaces the longest prefixes in the compiled character map (a double-array trie stored in the model file),
+and notes for each normalised byte the source byte that it comes from; pieces are then projected on original byte spans.
+Every text goes through it, whatever the model's map.  Segmentation merges the pair of best score, leftmost first, as the library does; unknown
 characters fall back to bytes.  Where no piece of the vocabulary holds a blank mark after another character, text splits
 before each run of blanks into units that merge independently; each worker keeps the ids of units that it has seen.
 
@@ -16,11 +16,14 @@ import hashlib
 import heapq
 import re
 import struct
+import zlib
 from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -41,6 +44,15 @@ class CharacterMap:
             (size,) = struct.unpack_from("<I", blob)
             self.units = list(struct.unpack_from(f"<{size // 4}I", blob, 4))
             self.texts = blob[4 + size :]
+        #: Bytes with which keys begin.
+        heads = bytes(c for c in range(256) if self._begins(c))
+        self.starts = re.compile(b"[" + re.escape(heads) + b"]") if heads else None
+
+    def _begins(self, c: int) -> bool:
+        if not self.units:
+            return False
+        pos = ((self.units[0] >> 10) << ((self.units[0] & (1 << 9)) >> 6)) ^ c
+        return pos < len(self.units) and self.units[pos] & ((1 << 31) | 0xFF) == c
 
     def longest(self, data: bytes, at: int) -> tuple[int, bytes] | None:
         """Length of the longest key that starts there, and what replaces it."""
@@ -77,6 +89,10 @@ class Model:
     bytes_at: dict[int, int] = field(default_factory=dict)
     unknown: int = 0
     splits: bool = True
+    #: What a piece is decoded to by itself; `loose`: pieces of bytes that make a character only with others.
+    shown: list[str] = field(default_factory=list)
+    loose: set[int] = field(default_factory=set)
+    cut: re.Pattern = field(default_factory=lambda: re.compile(".+", re.S))
 
     @classmethod
     def load(cls, path: str) -> Model:
@@ -103,54 +119,63 @@ class Model:
         order = {score: r for r, score in enumerate(sorted({self.scores[k] for k in self.ids.values()}, reverse=True))}
         self.ranks = {p: order[self.scores[k]] for p, k in self.ids.items()}
         self.splits = not any(re.search(f"[^{MARK}]{MARK}", p) for p in self.ids)
+        end = "" if any("\n" in p for p in self.ids) else "\n"
+        self.cut = re.compile((end and "\n|") + f"{MARK}*[^{MARK}{end}]+|{MARK}+")
+        single = {k: chr(b) for b, k in self.bytes_at.items() if b < 0x80}
+        self.loose = {k for b, k in self.bytes_at.items() if b >= 0x80}
+        self.shown = [single.get(k, {1: p.replace(MARK, " "), 2: " ⁇ "}.get(kind, "")) for k, (p, kind) in enumerate(zip(self.pieces, self.kinds, strict=True))]
         return self
 
     # normalisation
 
-    def normalise(self, text: str) -> tuple[bytes, list[int]]:
-        """Normalised bytes, and for each of them (and the end) its byte in the source."""
-        data = text.encode("utf-8", "replace") if not text.isascii() else text.encode()
-        out, source, at, n = bytearray(), [], 0, len(data)
-        parts: list[tuple[bytes, int, int]] = []
-        while at < n:
+    def normalise(self, text: str) -> tuple[bytes, np.ndarray]:
+        """Normalised bytes, and for each of them (and the end) its byte in the source.
+
+        Only at bytes that begin a key of the map is the longest prefix looked up; what lies between is copied.
+        """
+        data = text.encode("utf-8", "replace")
+        parts: list[bytes] = []
+        first: list[np.ndarray] = []  # of each byte, where its source begins and ends
+        last: list[np.ndarray] = []
+        at = copied = 0
+
+        def copy(end: int) -> None:
+            if end > copied:
+                parts.append(data[copied:end])
+                first.append(np.arange(copied, end))
+                last.append(first[-1] + 1)
+
+        starts = self.charmap.starts
+        while starts and (m := starts.search(data, at)):
+            at = m.start()
             hit = self.charmap.longest(data, at)
             if hit is None:
-                first = data[at]
-                size = 1 if first < 0x80 else 2 if first < 0xE0 else 3 if first < 0xF0 else 4
-                hit = size, data[at : at + size]
-            parts.append((hit[1], at, at + hit[0]))
-            at += hit[0]
-        if self.fold_spaces:
-            while parts and parts[0][0] == b" ":
-                parts.pop(0)
-        if not parts:
-            return b"", [n]
-        blank = False
+                at += 1
+                continue
+            copy(at)
+            parts.append(hit[1])
+            first.append(np.full(len(hit[1]), at))
+            last.append(np.full(len(hit[1]), at + hit[0]))
+            at = copied = at + hit[0]
+        copy(len(data))
+        joined = b"".join(parts)
+        if not joined:
+            return b"", np.array([len(data)])
+        raw = np.frombuffer(joined, np.uint8)
+        a, z = np.concatenate(first), np.concatenate(last)
+        blank = raw == 0x20
+        if self.fold_spaces:  # a run of blanks is one, at the ends none
+            some = np.flatnonzero(~blank)
+            if not len(some):
+                return b"", np.array([len(data)])
+            keep = ~(blank & np.r_[True, blank[:-1]])
+            keep[some[-1] + 1 :] = False
+            joined, a, z, blank = raw[keep].tobytes(), a[keep], z[keep], blank[keep]
+        source = np.repeat(a, np.where(blank, len(_MARK), 1)) if blank.any() else a
+        out = joined.replace(b" ", _MARK)
         if self.dummy_prefix:
-            out += _MARK
-            source += [parts[0][1]] * 3
-            blank = self.fold_spaces
-        end = parts[0][1]
-        for new, a, b in parts:
-            if self.fold_spaces and blank:
-                new = new.lstrip(b" ")
-            for c in new:
-                if c == 0x20:
-                    out += _MARK
-                    source += [a] * 3
-                else:
-                    out.append(c)
-                    source.append(a)
-            if new:
-                blank = self.fold_spaces and new.endswith(b" ")
-                end = b
-        if self.fold_spaces:
-            while out.endswith(_MARK):
-                del out[-3:]
-                end = source[-3]
-                del source[-3:]
-        source.append(end)
-        return bytes(out), source
+            out, source = _MARK + out, np.r_[np.full(len(_MARK), a[0]), source]
+        return out, np.r_[source, z[-1]]
 
     # segmentation
 
@@ -218,20 +243,23 @@ class Model:
         return out
 
     def units(self, text: str) -> list[str]:
-        return re.findall(f"{MARK}*[^{MARK}]+|{MARK}+", text) if self.splits and self.byte_fallback else [text]
+        """Parts that no piece spans."""
+        return self.cut.findall(text) if self.splits and self.byte_fallback else [text]
 
     def encode(self, text: str | None) -> list[tuple[int, int, int]]:
         """(id, first source byte, end source byte) of each piece."""
         norm, source = self.normalise(text or "")
-        out, at = [], 0
-        for unit in self.units(norm.decode("utf-8", "replace")):
-            for k, size in self.unit_ids(unit):
-                out.append((k, source[at], source[at + size]))
-                at += size
-        return out
+        found = [x for unit in self.units(norm.decode("utf-8", "replace")) for x in self.unit_ids(unit)]
+        ends = source[np.cumsum([0, *[size for _, size in found]])].tolist()
+        return [(k, a, b) for (k, _), a, b in zip(found, ends, ends[1:])]
 
     def decode(self, ids: list[int]) -> str:
         """Text of ids: marks are blanks, the blank put first is taken off, byte pieces are read as UTF-8."""
+        if self.loose.isdisjoint(ids) and ids and self.kinds[ids[0]] == 1:
+            out = "".join([self.shown[k] for k in ids])
+            if (self.dummy_prefix or self.fold_spaces) and out.startswith(" "):
+                out = out.lstrip(" ") if self.fold_spaces else out[1:]
+            return out
         out: list[str] = []
         pending = bytearray()
         started = False
@@ -283,42 +311,36 @@ def loaded(path: str) -> Model:
 
 
 class Encoder:
-    """Ids and decoded text of whole documents through two tables of units already seen: when the young one holds `most`, it becomes the old one."""
+    """Whole documents through two tables of units already seen: when the young one holds `most`, it becomes the old one."""
+
+    #: Longer units are not kept.
+    KEPT = 64
 
     def __init__(self, model: Model, most: int = 300_000) -> None:
         self.model, self.most, self.young, self.old = model, most, {}, {}
-        self.plain = model.splits and model.byte_fallback and not model.fold_spaces and not model.charmap.units and model.dummy_prefix
-        self.odd = re.compile(f"  |{MARK}|[\\ud800-\\udfff]|^ | $")
-        #: Characters that occur in no piece: a unit splits on either side of a line end, as nothing merges with it.
-        self.lines = not any("\n" in p for p in model.ids)
-
-    def _unit(self, word: str) -> bytes:
-        """",id" of each piece of a word, a blank before it."""
-        found = self.old.get(word)
+
+    def _unit(self, unit: str) -> tuple[tuple[int, ...], bytes, bytes]:
+        """Ids of a unit, ",id" of each, and the bytes that each covers as unsigned 32-bit numbers."""
+        found = self.old.get(unit)
         if found is None:
-            if self.lines and "\n" in word:
-                head, *rest = word.split("\n")
-                end = b"".join(b",%d" % k for k, _ in self.model.unit_ids("\n"))
-                return (self.young.get(head) or self._unit(head)) + b"".join(end + b"".join(b",%d" % k for k, _ in self.model.unit_ids(x)) for x in rest)
-            found = b"".join([b",%d" % k for k, _ in self.model.unit_ids(MARK + word)])
-        if len(self.young) >= self.most:
-            self.old, self.young = self.young, {}
-        self.young[word] = found
+            pieces = self.model.unit_ids(unit)
+            ids = tuple([k for k, _ in pieces])
+            found = ids, b"".join([b",%d" % k for k in ids]), array("I", [n for _, n in pieces]).tobytes()
+        if len(unit) <= self.KEPT:
+            if len(self.young) >= self.most:
+                self.old, self.young = self.young, {}
+            self.young[unit] = found
         return found
 
-    def run(self, text: str | None) -> tuple[int, str, str]:
-        """(number of ids, SHA-256 of their list, SHA-256 of the decoded text)."""
-        text = text or ""
-        if not text:
-            empty = hashlib.sha256(b"").hexdigest()
-            return 0, empty, empty
-        if not self.plain or self.odd.search(text):
-            ids = [k for k, _, _ in self.model.encode(text)]
-            return len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(self.model.decode(ids).encode()).hexdigest()
-        # Without runs of blanks, marks, or a map, every word is a unit, and the bytes of its pieces are its own.
-        unit, words = self._unit, text.split(" ")
-        joined = b"".join([g or unit(w) for g, w in zip(map(self.young.get, words), words)])
-        return joined.count(b","), hashlib.sha256(joined[1:]).hexdigest(), hashlib.sha256(text.encode()).hexdigest()
+    def run(self, text: str | None) -> tuple[int, str, str, int]:
+        """(number of ids, SHA-256 of their list, SHA-256 of the text they decode to, CRC-32 of the source bytes where pieces end, as unsigned 32-bit numbers)."""
+        norm, source = self.model.normalise(text or "")
+        units, unit = self.model.units(norm.decode("utf-8", "replace")) if norm else [], self._unit
+        found = [g or unit(u) for g, u in zip(map(self.young.get, units), units)]
+        ids = list(chain.from_iterable([f[0] for f in found]))
+        listed = b"".join([f[1] for f in found])[1:]
+        ends = source[np.cumsum(np.frombuffer(b"".join([f[2] for f in found]), "<u4"))].astype("<u4")
+        return len(ids), hashlib.sha256(listed).hexdigest(), hashlib.sha256(self.model.decode(ids).encode()).hexdigest(), zlib.crc32(ends.tobytes())
 
 
 @lru_cache(2)
@@ -327,7 +349,7 @@ def encoder(path: str) -> Encoder:
 
 
 def digests(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of each row of docs (doc_id, text); path: the model file, present on every machine."""
+    """doc_id, n_tokens, ids_sha256, decoded_sha256, ends_crc32 of each row of docs (doc_id, text); path: the model file, present on every machine."""
 
     small_batches(docs.sparkSession)
 
@@ -335,11 +357,10 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
         e = encoder(path)
         for batch in batches:
             found = [e.run(t) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.string()), pa.array([f[2] for f in found], pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
-            )
+            kinds = (pa.int64(), pa.string(), pa.string(), pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array([f[k] for f in found], kind) for k, kind in enumerate(kinds)]], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ends_crc32"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, ends_crc32 long")
 
 
 def spans(docs: DataFrame, path: str) -> DataFrame:
