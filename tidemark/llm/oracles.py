@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm.quality_rules import ALPHA, DELTA, RULES
+from tidemark.llm.quality_rules import ALPHA, DELTA, RULES, chains, policies
 
 OP2 = r"""
 WITH n AS (SELECT doc_id, coalesce(text, '') AS t, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS c FROM documents),
@@ -12,14 +12,17 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(c) AS text_
 
 
 def _op1() -> str:
-    level = ALPHA / len(RULES)
-    tests = ", ".join(f"({k}, '{r.name}', {j}, {c})" for k, r in enumerate(RULES) for j, c in enumerate(r.cutoffs))
+    def cell(v: int | None) -> str:
+        return "NULL::BIGINT" if v is None else str(v)
 
-    def rejects(prefix: str, cut: str) -> str:
-        return "CASE rule " + " ".join(f"WHEN '{r.name}' THEN ({r.left}) {'>' if r.above else '<'} ({r.right}) * {cut}" for r in RULES) + " END"
+    tests = ", ".join(f"({c}, {j}, {', '.join(cell(cuts.get(r.name)) for r in RULES)})" for c, j, cuts in policies())
+    cuts = ", ".join(f"cut_{r.name}" for r in RULES)
+    rejects = " OR ".join(f"coalesce(({r.left}) {'>' if r.above else '<'} ({r.right}) * cut_{r.name}, false)" for r in RULES)
+    policy = "concat_ws(', ', " + ", ".join(f"'{r.name} {'>' if r.above else '<'} ' || cut_{r.name}" for r in RULES) + ")"
+    best = f"max_by({{'chain': chain, 'level': j, {', '.join(f'{chr(39)}cut_{r.name}{chr(39)}: cut_{r.name}' for r in RULES)}}}, {{'b': b, 'k': -k, 'c': -chain, 'j': -j}})"
 
     return rf"""
-WITH d AS (SELECT doc_id, coalesce(lang, '') AS stratum, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+WITH d AS (SELECT doc_id, lang AS stratum, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
 win AS (SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS k FROM d, unnest(range(1, len(w) - 1)) AS u(i)),
 dup AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, k) AS c FROM win) WHERE c > 1),
 cov AS (SELECT doc_id, count(DISTINCT i + j) AS n FROM dup, unnest([0, 1, 2]) AS v(j) GROUP BY doc_id),
@@ -30,18 +33,20 @@ s AS (
     CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, CAST(coalesce(cov.n, 0) AS BIGINT) AS n_repeat_words
   FROM d JOIN l ON d.doc_id = l.doc_id LEFT JOIN cov ON d.doc_id = cov.doc_id),
 f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM s),
-g AS (SELECT f.* FROM f JOIN (SELECT doc_id, min(quality) AS q FROM labels GROUP BY doc_id) q ON f.doc_id = q.doc_id WHERE q = 1 AND NOT base_failed),
-c AS (SELECT * FROM (VALUES {tests}) AS v(r, rule, j, cutoff)),
-k AS (SELECT stratum, rule, j, cutoff, count(*) AS n, count(*) FILTER (WHERE {rejects('g', 'cutoff')}) AS k FROM g, c GROUP BY stratum, rule, j, cutoff),
+g AS (SELECT f.*, q FROM f JOIN (SELECT doc_id, min(quality) AS q FROM labels GROUP BY doc_id) q ON f.doc_id = q.doc_id WHERE q IS NOT NULL AND NOT base_failed),
+c AS (SELECT * FROM (VALUES {tests}) AS v(chain, j, {cuts})),
+k AS (
+  SELECT stratum, chain, j, {cuts}, count(*) FILTER (WHERE q = 1) AS n, count(*) FILTER (WHERE q = 1 AND ({rejects})) AS k, count(*) FILTER (WHERE q = 0 AND ({rejects})) AS b
+  FROM g, c GROUP BY stratum, chain, j, {cuts} HAVING n > 0),
 p AS (
-  SELECT *, CASE WHEN k >= n * {level} THEN 1.0 ELSE (
-    SELECT sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({level}) + (n - i) * ln(1 - {level}))) FROM unnest(range(0, k + 1)) AS u(i)) END AS p
+  SELECT *, CASE WHEN k >= n * {ALPHA} THEN 1.0 ELSE (
+    SELECT sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({ALPHA}) + (n - i) * ln(1 - {ALPHA}))) FROM unnest(range(0, k + 1)) AS u(i)) END AS p
   FROM k),
-o AS (SELECT *, max(p) OVER (PARTITION BY stratum, rule ORDER BY j) * (SELECT count(DISTINCT stratum) FROM g) * {len(RULES)} <= {DELTA} AS proved FROM p),
-x AS (SELECT stratum, rule, max_by(cutoff, j) AS cut FROM o WHERE proved GROUP BY stratum, rule),
-bad AS (SELECT DISTINCT f.doc_id FROM f JOIN x ON f.stratum = x.stratum WHERE {rejects('f', 'cut')})
-SELECT f.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND bad.doc_id IS NULL AS kept, f.stratum
-FROM f LEFT JOIN bad ON f.doc_id = bad.doc_id
+o AS (SELECT *, max(p) OVER (PARTITION BY stratum, chain ORDER BY j) * (SELECT count(*) FROM (SELECT DISTINCT stratum FROM k)) * {len(chains())} <= {DELTA} AS proved FROM p),
+x AS (SELECT stratum AS s, unnest({best}) FROM o WHERE proved GROUP BY stratum)
+SELECT f.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT ({rejects}) AS kept, f.stratum,
+  CASE WHEN chain IS NOT NULL THEN {policy} END AS policy
+FROM f LEFT JOIN x ON f.stratum IS NOT DISTINCT FROM x.s
 """
 
 
