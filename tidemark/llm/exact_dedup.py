@@ -9,9 +9,10 @@
 3. Every document is joined to the row of its digest; a hot digest is one small row on the right side, so the adaptive
    skew join can split the left side.
 
-Edge cases: null text counts as empty, and all empty texts are equal; repeated rows each count in group_size, and all
-rows that repeat the id and the length of the row that stays are kept; a null doc_id stays only in a group without any
-other id of that length; other columns are ignored.  Two different texts of one SHA-256 raise an error.
+4. Where rows repeat the id and the length of the row that stays, one of them is taken by the number of its row.
+
+Edge cases: null text counts as empty, and all empty texts are equal; repeated rows each count in group_size, and one
+of them is kept; a null doc_id stays only in a group without any other id of that length; other columns are ignored.  Two different texts of one SHA-256 raise an error.
 """
 
 from __future__ import annotations
@@ -49,7 +50,8 @@ class ContentTable:
     def _place(self, digest: bytes) -> int:
         return int.from_bytes(digest[:8], "little") & (len(self.slots) - 1)
 
-    def add(self, digest: bytes, content: bytes, chars: int, doc: int | None, n: int) -> None:
+    def add(self, digest: bytes, content: bytes, chars: int, doc: int | None, n: int, ties: int) -> None:
+        """n rows of a content, of which `ties` have this best rank."""
         mask, at = len(self.slots) - 1, self._place(digest)
         while (k := self.slots[at]) >= 0:
             row = self.rows[k]
@@ -57,12 +59,15 @@ class ContentTable:
                 if row[1] != content:
                     raise ValueError("two texts share a SHA-256 digest")
                 row[4] += n
-                if _rank(chars, doc) < _rank(row[2], row[3]):
-                    row[2], row[3] = chars, doc
+                new, old = _rank(chars, doc), _rank(row[2], row[3])
+                if new < old:
+                    row[2], row[3], row[5] = chars, doc, ties
+                elif new == old:
+                    row[5] += ties
                 return
             at = (at + 1) & mask
         self.slots[at] = len(self.rows)
-        self.rows.append([digest, content, chars, doc, n])
+        self.rows.append([digest, content, chars, doc, n, ties])
         self.bytes += len(content) + 200
         if 2 * len(self.rows) > len(self.slots):
             self.slots = [-1] * (2 * len(self.slots))
@@ -73,7 +78,7 @@ class ContentTable:
                 self.slots[at] = k
 
 
-PARTIAL = pa.schema([("sha", pa.binary()), ("content", pa.binary()), ("chars", pa.int64()), ("doc", pa.int64()), ("n", pa.int64())])
+PARTIAL = pa.schema([("sha", pa.binary()), ("content", pa.binary()), ("chars", pa.int64()), ("doc", pa.int64()), ("n", pa.int64()), ("ties", pa.int64())])
 
 
 def _batches(rows: list[list], schema: pa.Schema, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
@@ -97,26 +102,26 @@ def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for doc, text in zip(docs, batch.column(1), strict=True):
             t = text.as_py() or ""
             content = normalised(t)
-            table.add(hashlib.sha256(content).digest(), content, len(t), doc, 1)
+            table.add(hashlib.sha256(content).digest(), content, len(t), doc, 1, 1)
             if table.bytes > SCAN_BYTES:
                 yield from _batches(table.rows, PARTIAL)
                 table = ContentTable()
     yield from _batches(table.rows, PARTIAL)
 
 
-GROUPS = "sha binary, keep_id long, keep_chars long, group_size long"
+GROUPS = "sha binary, keep_id long, keep_chars long, group_size long, ties long"
 
 
 def _groups(table: ContentTable) -> Iterator[pa.RecordBatch]:
     if table.rows:
         yield pa.RecordBatch.from_arrays(
-            [pa.array([r[0] for r in table.rows], pa.binary()), pa.array([r[3] for r in table.rows], pa.int64()), pa.array([r[2] for r in table.rows], pa.int64()), pa.array([r[4] for r in table.rows], pa.int64())],
-            names=["sha", "keep_id", "keep_chars", "group_size"],
+            [pa.array([r[0] for r in table.rows], pa.binary()), *[pa.array([r[k] for r in table.rows], pa.int64()) for k in (3, 2, 4, 5)]],
+            names=["sha", "keep_id", "keep_chars", "group_size", "ties"],
         )
 
 
 def grace(records: Iterator[tuple], level: int, folder: str, memory: int = TABLE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Groups of records (digest, content, chars, doc, n).  Level k deals by bits 64+4k of the digest, which neither Spark's partitioning nor the table's slots use."""
+    """Groups of records (digest, content, chars, doc, n, ties).  Level k deals by bits 64+4k of the digest, which neither Spark's partitioning nor the table's slots use."""
     table, files = ContentTable(), None
     for r in records:
         if files is None:
@@ -152,7 +157,7 @@ def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def records() -> Iterator[tuple]:
         for batch in batches:
             for k in range(batch.num_rows):
-                yield tuple(batch.column(c)[k].as_py() for c in range(5))
+                yield tuple(batch.column(c)[k].as_py() for c in range(len(PARTIAL)))
 
     with tempfile.TemporaryDirectory(prefix="grace-") as folder:
         yield from grace(records(), 0, folder)
@@ -167,8 +172,8 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def groups(docs: DataFrame) -> DataFrame:
-    """One row per distinct normalised text: sha, keep_id, keep_chars, group_size."""
-    partial = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(fold), "sha binary, content binary, chars long, doc long, n long")
+    """One row per distinct normalised text: sha, keep_id, keep_chars, group_size, ties (rows of that id and length)."""
+    partial = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(fold), "sha binary, content binary, chars long, doc long, n long, ties long")
     return partial.repartition("sha").mapInArrow(tidy(settle), GROUPS)
 
 
@@ -178,9 +183,12 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(_digests), "doc_id long, chars long, sha binary")
     # The groups come out dealt by digest; a written table lets the join deal both sides itself, so that it can split a hot digest.
     found = stored(groups(docs), "exact-groups")
-    joined = rows.join(found, "sha")
-    return joined.select(
-        "doc_id", "keep_id", "group_size",
-        (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("chars") == F.col("keep_chars"))).alias("kept"),
-        F.lower(F.hex("sha")).alias("text_sha256"),
-    )
+    best = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("chars") == F.col("keep_chars"))
+    shown = ["doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("sha")).alias("text_sha256")]
+    if not found.where("ties > 1").limit(1).count():
+        return rows.join(found, "sha").withColumn("kept", best).select(*shown)
+    # Rows that repeat the one that stays: a written table numbers them, as numbers change when a task runs again.
+    numbered = stored(rows.join(found, "sha").withColumns({"best": best, "row": F.monotonically_increasing_id()}), "exact-rows")
+    least = numbered.where("best and ties > 1").groupBy(F.col("sha").alias("of")).agg(F.min("row").alias("least"))
+    joined = numbered.join(least, F.col("sha") == F.col("of"), "left")
+    return joined.withColumn("kept", F.col("best") & (F.col("least").isNull() | (F.col("row") == F.col("least")))).select(*shown)
