@@ -6,8 +6,8 @@ most q - 1 of another.  So each node is filed under the value of each segment, a
 Hamming ball around it; of a ball only flips that set at least as many bits as they clear are asked for, as the other
 side asks for the rest.  Rows of a segment value are brought together, complete distances are verified there, and only
 a spanning star of the links found leaves the task: connectivity is all that components need, so no group is written as
-pairs.  A value with more than `block` rows is spread over cells, one for each two of its blocks.  m grows smaller (its
-segments longer) with the number of nodes, which keeps the rows of one value few; the links found are the same.
+pairs.  A value with more than `block` rows is spread over cells, one for each two of its blocks.  With very many
+nodes the tables are choices of several segments at once, so that the rows of one value stay few; the links are the same.
 
 Edge cases: null and empty texts have fingerprint zero and are linked like any other; repeated rows and ids are
 fine; rows with a null doc_id are linked, but do not name a component (it is null if it has no other id).
@@ -57,32 +57,44 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found), *batch.columns[2:]], names=["doc_id", "fp", *batch.schema.names[2:]])
 
 
-def layout(nodes: int, distance: int) -> list[tuple[int, int, int]]:
-    """(lowest bit, width, radius) of each segment."""
-    m = next((m for m in (4, 3, 2) if nodes >> (64 // m) <= 4 and 64 // m >= 21), 2)
-    q, s = divmod(distance, m)
-    widths = [64 // m + (k < 64 % m) for k in range(m)]
-    return [(sum(widths[:k]), w, q if k <= s else q - 1) for k, w in enumerate(widths)]
+def layout(nodes: int, distance: int) -> list[tuple[int, int]]:
+    """(mask, radius) of each table: fingerprints within `distance` are within radius under one of the masks at least.
 
+    Up to 2**23 nodes, three segments with balls; beyond, all choices of j of distance + j segments, of which j are equal
+    at least: with j of 3 and more the masks have over 27 bits, and a node has 35 rows, then 70.
+    """
+    if nodes <= 1 << 23:
+        m = 3
+        q, s = divmod(distance, m)
+        widths = [64 // m + (k < 64 % m) for k in range(m)]
+        return [(((1 << w) - 1) << sum(widths[:k]), q if k <= s else q - 1) for k, w in enumerate(widths)]
+    j = 3 if nodes <= 1 << 29 else 4
+    m = distance + j
+    ends = [64 * k // m for k in range(m + 1)]
+    parts = [((1 << b) - 1) ^ ((1 << a) - 1) for a, b in zip(ends, ends[1:])]
+    return [(sum(chosen), 0) for chosen in combinations(parts, j)]
 
-def _file(segments: list[tuple[int, int, int]]):
+
+def _file(tables: list[tuple[int, int]]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fp, node = batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy()
-            for k, (low, width, radius) in enumerate(segments):
-                value = (fp >> np.uint64(low)) & np.uint64((1 << width) - 1)
+            for k, (mask, radius) in enumerate(tables):
+                value = fp & np.uint64(mask)
+                bits = [b for b in range(64) if mask >> b & 1]
                 for size in range(radius + 1):
-                    for flips in combinations(range(width), size):
-                        mask = np.uint64(sum(1 << f for f in flips))
-                        asks = 2 * np.bitwise_count(value & mask) <= size if size else np.ones(len(fp), bool)
-                        key = (((value ^ mask) << np.uint64(3)) | np.uint64(k)).view(np.int64)[asks]
+                    for flips in combinations(bits, size):
+                        flip = np.uint64(sum(1 << f for f in flips))
+                        asks = 2 * np.bitwise_count(value & flip) <= size if size else np.ones(len(fp), bool)
+                        # the table's number is stirred in; rows that only share a key are told apart by their distance
+                        key = ((value ^ flip) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(k * 0xD6E8FEB86659FD93 & (1 << 64) - 1)).view(np.int64)[asks]
                         if len(key):
                             yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(node[asks]), pa.array(fp.view(np.int64)[asks]), pa.array(np.full(len(key), size > 0))], names=["key", "node", "fp", "ask"])
 
     return run
 
 
-def _pairs_of_run(fp: np.ndarray, node: np.ndarray, ask: np.ndarray, block: np.ndarray, distance: int, rows: int = 256) -> tuple[np.ndarray, np.ndarray]:
+def _pairs_of_run(fp: np.ndarray, node: np.ndarray, ask: np.ndarray, distance: int, rows: int = 256) -> tuple[np.ndarray, np.ndarray]:
     """A spanning star of the links in one large run."""
     a = b = np.zeros(0, np.int64)
     for start in range(0, len(fp), rows):
@@ -112,7 +124,7 @@ def _verify(distance: int):
             shift += 1
         for k in np.flatnonzero(length > 64):
             part = slice(edge[k], edge[k] + length[k])
-            a, b = _pairs_of_run(fp[part], node[part], ask[part], None, distance)
+            a, b = _pairs_of_run(fp[part], node[part], ask[part], distance)
             found_a.append(a)
             found_b.append(b)
         a, b = np.concatenate(found_a or [np.zeros(0, np.int64)]), np.concatenate(found_b or [np.zeros(0, np.int64)])
