@@ -1,3 +1,7 @@
+import html
+import re
+import time
+
 import pytest
 
 from tidemark.llm.html_text import blocks, extract, main_text
@@ -45,3 +49,31 @@ def test_table(spark):
     got = sorted((tuple(r) for r in extract(df).collect()), key=str)
     assert got == sorted([(1, "u", LONG, len(LONG)), (1, "u", LONG, len(LONG)), (None, None, "", 0), (2, "v", "", 0)], key=str)
     assert extract(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("page", [lambda n: "<div>" * n + "</p></i>" * n, lambda n: "<button>x" * n, lambda n: '<a "> "' * n, lambda n: "<i>" * n + "<h1>x</h1>" * n, lambda n: "<a '\">x" * n, lambda n: "<ul><li><p>" * n])
+def test_hostile_pages_take_linear_time(page):
+    def seconds(n):
+        start = time.process_time()
+        blocks(page(n))
+        return time.process_time() - start
+
+    seconds(500)
+    assert seconds(32000) < 16 * max(0.02, seconds(8000))
+
+
+def test_quotes_in_tags():
+    assert [b[0] for b in blocks("<p title='a > b'>x</p><p title=\"y>z</p>")] == ["x", "z"]
+
+
+def test_like_brute_force_over_pages(spark, data):
+    """The given pages have one article each, of paragraphs and a heading."""
+    pages = spark.read.parquet(f"{data}/pages.parquet")
+    got = {r["page_id"]: r for r in extract(pages).collect()}
+    rows = pages.collect()
+    assert len(rows) == len(got)
+    for r in rows:
+        (article,) = re.findall(r"<article>(.*?)</article>", r["html"], re.S)
+        parts = [" ".join(html.unescape(re.sub(r"</?(?:b|i|em|strong|a|span|u)\b[^>]*>", "", re.sub(r"<br\s*/?>", " ", x))).split()) for x in re.split(r"</?(?:p|h1|h2|h3|ul|ol|li|div|blockquote|pre|table|tr|td)\b[^>]*>", article)]
+        text = "\n".join(x for x in parts if x)
+        assert (got[r["page_id"]]["url"], got[r["page_id"]]["text"], got[r["page_id"]]["n_chars"]) == (r["url"], text, len(text))

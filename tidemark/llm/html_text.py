@@ -24,7 +24,8 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import small_batches, tidy
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)", re.S)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)", re.S)
+_PLAIN, _STOP = re.compile(r"[^>\"']*+(?:>|\Z)"), re.compile(r"[>\"']")
 _RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe", "svg", "select", "button", "object", "math", "audio", "video", "canvas", "datalist", "xmp", "noembed", "noframes"}
 _BLOCK = set("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split())
 _VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -36,7 +37,6 @@ _FURNITURE = re.compile(
 _HEAD = re.compile(r"(?:^|[\s_-])(?:headers?|site-header|page-header|top)(?:$|[\s_-])", re.I)
 _MAIN = re.compile(r"(?:^|[\s_-])(?:article|entry|post|story|main|content)(?:$|[\s_-]?(?:body|content|text)?$)", re.I)
 _ATTR = re.compile(r"\b(class|id|role|itemprop|hidden|aria-hidden)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
-_CLOSES_P = _BLOCK
 
 #: words, links, words before, links before, words after, links after, heading, furniture, in article, page has article; main text?
 _LABELLED = [
@@ -91,13 +91,97 @@ def classify(features: tuple) -> int:
     return node
 
 
+class _Open:
+    """Open elements: (tag, furniture, article, heading).  Where the last of a tag stands is known without a search."""
+
+    def __init__(self) -> None:
+        self.stack: list[tuple[str, int, int, int]] = [("", 0, 0, 0)]
+        self.at: dict[str, list[int]] = {}
+        self.blocks: list[int] = [0]
+
+    def push(self, tag: str, furniture: int, article: int, heading: int) -> None:
+        self.at.setdefault(tag, []).append(len(self.stack))
+        if tag in _BLOCK:
+            self.blocks.append(len(self.stack))
+        self.stack.append((tag, furniture, article, heading))
+
+    def last(self, tags) -> int:
+        """The place of the innermost of these tags, or 0."""
+        return max((self.at[t][-1] for t in tags if self.at.get(t)), default=0)
+
+    def cut(self, depth: int) -> None:
+        """Close the element there and all in it."""
+        while len(self.stack) > depth:
+            tag = self.stack.pop()[0]
+            self.at[tag].pop()
+            if tag in _BLOCK:
+                self.blocks.pop()
+
+
+class _Tags:
+    """Ends of tags of a page.  Quoted values may hold >; where the quotes of a tag go on to the end of the page, its first > ends it."""
+
+    def __init__(self, page: str) -> None:
+        self.page = page
+        #: Places outside quotes from which no end is found, so that no part of a page is searched twice.
+        self.hopeless: set[int] = set()
+        #: From where on there is none of a quote, or of a closing raw tag.
+        self.without: dict[str, int] = {}
+
+    def end(self, at: int) -> int:
+        page = self.page
+        if m := _PLAIN.match(page, at):
+            return m.end()
+        seen, here = [], at
+        while m := _STOP.search(page, here):
+            if m[0] == ">":
+                return m.end()
+            if m.end() in self.hopeless:
+                break
+            seen.append(m.end())
+            close = self.find(m[0], m.end())
+            if close < 0:
+                break
+            here = close + 1
+        self.hopeless.update(seen)
+        close = page.find(">", at)
+        return len(page) if close < 0 else close + 1
+
+    def find(self, quote: str, at: int) -> int:
+        if at >= self.without.get(quote, len(self.page) + 1):
+            return -1
+        found = self.page.find(quote, at)
+        if found < 0:
+            self.without[quote] = at
+        return found
+
+    def after(self, tag: str, at: int) -> int:
+        """The end of the next closing tag, or -1."""
+        if at >= self.without.get(tag, len(self.page) + 1):
+            return -1
+        m = _closing(tag).search(self.page, at)
+        if m is None:
+            self.without[tag] = at
+        return m.end() if m else -1
+
+
+@lru_cache(64)
+def _closing(tag: str) -> re.Pattern:
+    return re.compile(rf"</{re.escape(tag)}\s*>", re.I)
+
+
+#: What a start tag closes, and what it does not reach past.
+_ENDS = {t: {"p"} for t in _BLOCK} | {t: {"p", t} for t in ("li", "td", "th")} | {"tr": {"p", "tr", "td", "th"}} | {t: {"p", "dt", "dd"} for t in ("dt", "dd")}
+_BARS = ("ul", "ol", "table", "div", "section", "article", "blockquote", "td", "body")
+
+
 def blocks(page: str) -> list[tuple[str, float, int, int, int]]:
     """(text, link share, heading, furniture, in article) of each block of a page, in order."""
     out: list[tuple[str, float, int, int, int]] = []
     text: list[str] = []
     linked: list[str] = []
-    # open elements: (tag, furniture, article, heading)
-    stack: list[tuple[str, int, int, int]] = [("", 0, 0, 0)]
+    opened, tags = _Open(), _Tags(page)
+    stack = opened.stack
     links = 0
 
     def flush() -> None:
@@ -123,27 +207,27 @@ def blocks(page: str) -> list[tuple[str, float, int, int, int]]:
             break
         say(page[at : m.start()])
         at = m.end()
-        tag = (m[2] or m[5] or "").lower()
+        tag = (m[2] or "").lower()
         if not tag:
             if m[0].startswith("<![CDATA["):
                 say(m[0][9:].removesuffix("]]>"))
             continue
-        closing, attrs = m[1] or m[4], m[3] if m[2] else m[6]
-        if closing:
+        at = tags.end(m.end())
+        attrs = page[m.end() : at].removesuffix(">").rstrip()
+        if m[1]:
             if tag == "a":
                 links = max(0, links - 1)
                 linked.append(" ")
             if tag in _BLOCK:
                 flush()
-            depth = next((k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == tag), 0)
-            if depth and (tag in _BLOCK or not any(s[0] in _BLOCK for s in stack[depth + 1 :])):
-                flush() if tag in _BLOCK else None
-                del stack[depth:]
+            depth = opened.last((tag,))
+            if depth and (tag in _BLOCK or opened.blocks[-1] < depth):
+                opened.cut(depth)
             continue
         if tag in _RAW:
-            end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-            if not (attrs or "").rstrip().endswith("/"):
-                at = end.end() if end else n if tag in ("script", "style", "textarea") else at
+            if not attrs.endswith("/"):
+                end = tags.after(tag, at)
+                at = end if end >= 0 else n if tag in ("script", "style", "textarea") else at
             text.append(" ")
             continue
         if tag == "br":
@@ -152,16 +236,12 @@ def blocks(page: str) -> list[tuple[str, float, int, int, int]]:
         if tag in _BLOCK:
             flush()
             links = 0
-        if tag in _VOID or (attrs or "").rstrip().endswith("/"):
+        if tag in _VOID or attrs.endswith("/"):
             continue
-        if tag in _CLOSES_P:  # a block ends an open paragraph, li an open li and so on
-            ends = {"p"} | ({tag} if tag in ("li", "td", "th", "tr", "dt", "dd") else set()) | ({"td", "th"} if tag == "tr" else set()) | ({"dt", "dd"} if tag in ("dt", "dd") else set())
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] in ends:
-                    del stack[k:]
-                    break
-                if stack[k][0] in ("ul", "ol", "table", "div", "section", "article", "blockquote", "td", "body"):
-                    break
+        if tag in _BLOCK:
+            depth = opened.last(_ENDS[tag])
+            if depth and depth >= opened.last(_BARS):
+                opened.cut(depth)
         if tag == "a":
             links += 1
         _, fur, art, head = stack[-1]
@@ -172,7 +252,7 @@ def blocks(page: str) -> list[tuple[str, float, int, int, int]]:
         if not art and (tag == "header" or (tag not in ("html", "body") and bool(mark.strip()) and _HEAD.search(mark))):
             own = True
         heading = int(tag in ("h1", "h2", "h3", "h4", "h5", "h6"))
-        stack.append((tag, int(fur or own), int(art or main), heading or (head if tag not in _BLOCK else 0)))
+        opened.push(tag, int(fur or own), int(art or main), heading or (head if tag not in _BLOCK else 0))
     flush()
     return out
 
