@@ -1,3 +1,5 @@
+import math
+import re
 import zlib
 
 from pyspark.sql import functions as F
@@ -42,3 +44,37 @@ def test_no_training_rows_repeats_nulls_and_an_empty_table(table, words):
     assert {r["lang_pred"] for r in got.collect()} == {"en"}
     assert got.where("doc_id is null").first()["held_out"] is None
     assert L.identify(table([]), model).count() == 0
+
+
+def test_predictions_like_brute_force(spark, data):
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    model = L.train(docs)
+    got = {r["doc_id"]: r for r in L.identify(docs, model).collect()}
+    for r in docs.limit(60).collect():
+        b = (" " + " ".join(re.findall(r"[^\W\d_]+", (r["text"] or "").lower())) + " ").encode()
+        n = {}
+        for k in range(len(b) - 1):
+            two = (b[k] * 257 + b[k + 1]) % 2**32
+            slots = [(two * 2654435761 % 2**32) >> 20]
+            if k + 2 < len(b):
+                slots.append(((two * 65599 + b[k + 2]) * 2246822519 % 2**32) >> 20)
+            for s in slots:
+                n[s] = n.get(s, 0) + 1
+        v = {s: math.log1p(c) * float(model.idf[s]) for s, c in n.items()}
+        size = math.sqrt(sum(x * x for x in v.values()))
+        cosines = [sum(x * float(c[s]) for s, x in v.items()) / size for c in model.centroids]
+        best = max(range(len(cosines)), key=cosines.__getitem__)
+        assert got[r["doc_id"]]["lang_pred"] == model.languages[model.owner[best]] and abs(got[r["doc_id"]]["score"] - cosines[best]) < 1e-4
+
+
+def test_numbers_are_no_letters(table):
+    model = L.train(table(["some words here", "more words there"]))
+    texts = ["½ ²", "①", "Ⅷ", "一", "ª", "_ 12"]
+    got = [r["lang_pred"] for r in L.identify(table(texts), model).orderBy("doc_id").collect()]
+    assert got == ["und", "und", "und", "en", "en", "und"]
+
+
+def test_repeated_ids_train_once(table, words):
+    docs = table([(1, words(40, k)) for k in range(5)] + [(k, words(40, 50 + k)) for k in range(2, 9)])
+    a, b = L.train(docs.repartition(6)), L.train(docs.repartition(1))
+    assert (a.centroids == b.centroids).all() and (a.bounds == b.bounds).all()

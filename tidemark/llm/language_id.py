@@ -3,7 +3,7 @@
 Features: counts of hashed byte pairs and triples over the lower-cased text in which everything but letters is one
 blank; damped (1 + ln), weighted by inverse document frequency, scaled to unit length.  Fitting takes at most
 `per_language` training documents of each language and `total` in all, those of the lowest hash of doc_id, with their
-whole texts; spherical k-means gives `clusters` centroids per language.  A document gets the language of the centroid
+whole texts (the least, where an id has several); spherical k-means gives `clusters` centroids per language.  A document gets the language of the centroid
 of greatest cosine, which is its score; `rejected` tells that no centroid is near: the cosine is below the bound of
 that language, `slack` times the lowest share `quantile` of its own training documents.  A text of few n-grams cannot
 be near any centroid, so below `FULL` n-grams the bound shrinks with the root of their number.
@@ -24,13 +24,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 from pyspark.sql.window import Window
 
-from tidemark.llm.common import fresh, held_out, release, small_batches, tidy
+from tidemark.llm.common import held_out, small_batches, tidy
 
 DIM, FULL = 4096, 400
-_OTHER = re.compile(r"[\W\d_]+")
+#: Everything but letters; numbers that are no decimal digits (fractions, Roman and circled numbers) are word characters to `re`.
+_OTHER = re.compile(r"[\W\d_%s]+" % "".join(c for c in map(chr, range(0x110000)) if c.isnumeric() and not c.isalpha() and not c.isdecimal()))
 
 
 def counts(text: str | None) -> np.ndarray | None:
@@ -116,8 +116,8 @@ def train(docs: DataFrame, per_language: int = 400, total: int = 4000, **kw) ->
     ids = part.select("doc_id", "lang", hashed.alias("h")).withColumn("r", F.row_number().over(by)).where(F.col("r") <= per_language)
     chosen = ids.orderBy("r", "h", "lang").limit(total).select("doc_id", "lang").distinct()
     sample = part.join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi")
-    # Repeated rows of an id could pass the bound; equal rows are one.
-    rows = sample.select("lang", "text").mapInArrow(tidy(_vectors), "lang string, v binary").limit(2 * total).toArrow()
+    # An id may have several rows: one text of each is taken.
+    rows = sample.groupBy("doc_id", "lang").agg(F.min("text").alias("text")).select("lang", "text").mapInArrow(tidy(_vectors), "lang string, v binary").toArrow()
     vec = np.frombuffer(b"".join(rows["v"].to_pylist()), np.float16).reshape(-1, DIM).astype(np.float32) if rows.num_rows else np.zeros((0, DIM), np.float32)
     langs = rows["lang"].to_pylist()
     order = sorted(range(len(langs)), key=lambda k: (langs[k], zlib.crc32(vec[k].tobytes())))
@@ -145,14 +145,14 @@ def accepted(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of docs that are not rejected, with lang set to the prediction; all columns are kept."""
     small_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
+    text, lang = docs.columns.index("text"), docs.columns.index("lang")
 
-    def predict(texts):
-        import pandas as pd
-
-        found = [held.value.predict(t) for t in texts]
-        release()
-        return pd.Series([None if f[2] else f[0] for f in found], dtype=object)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = held.value
+        for batch in batches:
+            found = [m.predict(t) for t in batch.column(text).to_pylist()]
+            columns = list(batch.columns)
+            columns[lang] = pa.array([f[0] for f in found], batch.column(lang).type)
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names).filter(pa.array([not f[2] for f in found], pa.bool_()))
 
-    own = fresh(docs, "predicted")
-    df = docs.withColumn(own, F.pandas_udf(predict, StringType()).asNondeterministic()("text")).where(F.col(own).isNotNull())
-    return df.select(*[F.col(own).alias(c) if c == "lang" else F.col(c) for c in docs.columns])
+    return docs.mapInArrow(tidy(run), docs.schema)
