@@ -85,6 +85,22 @@ def zero_padded_ids(ids: ColumnOrName, widths: tuple[Column, Column, Column]) ->
     return F.concat(F.lit("cl"), pad(1), F.lit("s"), pad(2), F.lit("tr"), pad(3))
 
 
+def is_date(text: ColumnOrName) -> Column:
+    """Whether a text is a day of the calendar, written yyyy-mm-dd."""
+    t = col(text)
+    return t.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$") & F.try_to_date(t, "yyyy-MM-dd").isNotNull()
+
+
+def zoom_of(path: ColumnOrName) -> Column:
+    """The number after _z or a leading z in a file name; NULL without one."""
+    return F.nullif(F.regexp_extract(file_name(path), r"(?:^|_)z(\d+)", 1), F.lit("")).cast("int")
+
+
+def buffer_of(path: ColumnOrName) -> Column:
+    """Metres in a file name (5000m); NULL without any."""
+    return F.nullif(F.regexp_extract(file_name(path), r"(?:^|_)(\d+)m(?:_|\.|$)", 1), F.lit("")).cast("int")
+
+
 def protocol(path: ColumnOrName) -> Column:
     p = F.regexp_extract(col(path), r"^([a-z0-9+.-]+)://", 1)
     return F.when(p == "", F.lit("file")).otherwise(p)

@@ -126,3 +126,20 @@ def search_items(items: DataFrame, box: Box, start=None, end=None, max_cloud: fl
     if max_cloud is not None:
         df = df.where(F.col("cloud_cover") <= max_cloud).orderBy(F.col("cloud_cover").asc_nulls_last(), "id")
     return df.limit(limit) if limit is not None else df
+
+
+def resolved(df: DataFrame, value, name: str, default=None, cast: str | None = None, required: bool = False) -> Column:
+    """A column of df by its name, or a literal value, or the default; missing values become the default, and all is cast.  A required input that is neither there nor has a default is an error."""
+    if isinstance(value, str) and value in df.columns:
+        out = F.col(f"`{value}`")
+    elif value is not None and not isinstance(value, str):
+        out = F.lit(value)
+    elif required and default is None:
+        raise ValueError(f"{name} is needed: {value!r} is no column")
+    else:
+        out = F.lit(None)
+    if cast:
+        out = out.cast(cast)
+    if default is not None:
+        out = F.coalesce(out, F.lit(default).cast(cast) if cast else F.lit(default))
+    return out.alias(name)

@@ -24,6 +24,6 @@ def query(sql: str | None = None, name: str | None = None):
 
 
 def load() -> tuple[dict[str, Callable[[SparkSession, str], DataFrame]], dict[str, str]]:
-    from tidemark.plans import catalogue, geometry, grids, joins, naming, raster, series, tiles, work  # noqa: F401
+    from tidemark.plans import catalogue, cells, geometry, grids, joins, lines, naming, raster, relational, series, tiles, work  # noqa: F401
 
     return QUERIES, SQL

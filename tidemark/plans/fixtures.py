@@ -102,7 +102,7 @@ _VIEWS = {
 pixels AS (SELECT vec_id AS cube_id, CAST(pos // 8 AS INT) AS y, CAST(pos % 8 AS INT) AS x, 6e-1 + v AS blue, 7e-1 + v * 5e-1 AS green, 65e-2 + v * 8e-1 AS red, 9e-1 + v * -6e-1 AS nir,
   8e-1 + v * 3e-1 AS swir16, 7e-1 + v * -4e-1 AS swir22, 75e-2 + v * 6e-1 AS rededge1, CAST((vec_id + pos) % 12 AS INT) AS SCL, v * 1e1 AS deltadtm FROM pixels0)""",
     "lines": f"""{_T},
-lines AS (SELECT country, list({{'x': lon, 'y': lat}} ORDER BY id) AS line FROM transects WHERE id <= 400 GROUP BY country)""",
+lines AS (SELECT country, list({{'x': lon, 'y': lat}} ORDER BY id) AS line FROM transects GROUP BY country)""",
     "grid": f"""grid AS (SELECT 'g' || s_suppkey AS grid_id, {_list(CONTINENTS, "s_suppkey")} AS continents, {_list(COUNTRIES, "s_suppkey", "s_suppkey * 3")} AS countries,
   CASE WHEN s_suppkey % 11 <> 0 THEN {_list(TILES, "s_suppkey", "s_suppkey * 5")} END AS mgrs_tiles, (s_suppkey * 53) % 1800 / 1e1 - 9e1 AS ymin, (s_suppkey * 53) % 1800 / 1e1 - 9e1 + 1 AS ymax FROM supplier)""",
 }

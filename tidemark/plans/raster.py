@@ -136,7 +136,7 @@ def otsu_threshold(spark, d):
 
 
 @query(
-    f"""{_P}, m AS (SELECT y, x, median(red) AS red, median(nir) AS nir FROM pixels WHERE cube_id < 100 AND SCL NOT IN (8, 9) GROUP BY y, x)
+    f"""{_P}, m AS (SELECT y, x, median(red) AS red, median(nir) AS nir FROM pixels WHERE SCL NOT IN (8, 9) GROUP BY y, x)
 SELECT CAST(y AS INT) AS y, CAST(x AS INT) AS x, CAST(round_even(red * 10000, 0) AS SMALLINT) AS red, CAST(round_even((nir - red) / (nir + red) * 10000, 0) AS SMALLINT) AS NDVI FROM m"""
 )
 def cube_pipeline(spark, d):
