@@ -68,10 +68,19 @@ def first_per_key(spark, d):
     return J.first_per_key(fx.table(spark, d, "orders"), ["o_custkey"], ["o_orderdate", "o_orderkey"]).select("o_custkey", "o_orderkey", "o_orderdate")
 
 
+# (the polygon is convex and runs anticlockwise: a segment meets it if the part within all half-planes is not empty)
 _HEX = ((20.0, 0.0), (40.0, 30.0), (0.0, 60.0), (-40.0, 30.0), (-20.0, 0.0))
 
 
-@query()
+_EDGES = ", ".join(f"({k}, {a[0]}e0, {a[1]}e0, {b[0]}e0, {b[1]}e0)" for k, (a, b) in enumerate(zip(_HEX, (*_HEX[1:], _HEX[0]))))
+
+
+@query(
+    f"""{_T}, e AS (SELECT * FROM (VALUES {_EDGES}) AS v(k, ax, ay, bx, cy)),
+c AS (SELECT id, (bx - ax) * (ymin - ay) - (cy - ay) * (xmin - ax) AS c0, (bx - ax) * (ymax - ymin) - (cy - ay) * (xmax - xmin) AS c1 FROM transects, e),
+t AS (SELECT id, greatest(0e0, max(CASE WHEN c1 > 0 THEN -c0 / c1 END)) AS low, least(1e0, min(CASE WHEN c1 < 0 THEN -c0 / c1 END)) AS high, bool_or(c1 = 0 AND c0 < 0) AS out FROM c GROUP BY id)
+SELECT id FROM t WHERE low <= high AND NOT out"""
+)
 def polygon_intersects(spark, d):
     """Lines that meet a polygon: bounds first, the exact test in Arrow batches."""
     from tidemark.functions.planar import point

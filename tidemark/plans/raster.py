@@ -130,7 +130,14 @@ def band_pivot(spark, d):
     return p.select("cube_id", *[r(F.col(f"`{k}`")).alias(f"c{k}") for k in (4, 5, 6)])
 
 
-@query()
+@query(
+    f"""{_P}, e AS (SELECT cube_id, min(nir) AS lo, max(nir) AS hi FROM pixels GROUP BY cube_id),
+h AS (SELECT cube_id, lo, hi, CASE WHEN hi > lo THEN least(255, CAST(floor((nir - lo) / ((hi - lo) / 256)) AS BIGINT)) ELSE 0 END AS bin, count(*) AS n FROM pixels JOIN e USING (cube_id) GROUP BY ALL),
+m AS (SELECT *, lo + (bin + 5e-1) * (hi - lo) / 256 AS mid FROM h),
+c AS (SELECT *, sum(n) OVER o AS w, sum(n * mid) OVER o AS s, sum(n) OVER (PARTITION BY cube_id) AS tw, sum(n * mid) OVER (PARTITION BY cube_id) AS ts FROM m WINDOW o AS (PARTITION BY cube_id ORDER BY bin)),
+b AS (SELECT *, row_number() OVER (PARTITION BY cube_id ORDER BY w * (tw - w) * power(s / w - (ts - s) / nullif(tw - w, 0), 2) DESC NULLS LAST, bin) AS k FROM c)
+SELECT cube_id, {q('mid')} AS threshold, CAST(tw AS BIGINT) AS n FROM b WHERE k = 1"""
+)
 def otsu_threshold(spark, d):
     return R.otsu(fx.pixels(spark, d), "nir", ["cube_id"]).select("cube_id", r("threshold").alias("threshold"), "n")
 
