@@ -74,13 +74,57 @@ def _projection_input(spark, d):
     return t.select("id", "rate", "start", "end", "reference", "utm_epsg")
 
 
-@query()
+def _lit(v: float) -> str:
+    return f"CAST({v!r} AS DOUBLE)"
+
+
+def _series(coefficients, base: str, f: str, g: str, sign: str) -> str:
+    return f"{base} {sign} " + f" {sign} ".join(f"{_lit(c)} * {f}({2 * j} * xi) * {g}({2 * j} * eta)" for j, c in enumerate(coefficients, 1))
+
+
+_K, _E = _lit(crs.SCALE * crs.RECTIFYING), _lit(crs.ECCENTRICITY)
+_SOUTH = "(CASE WHEN lat < 0 THEN 1e7 ELSE 0e0 END)"
+
+
+def _inverse(source: str) -> str:
+    """CTEs from `source` (id, k, x, y, zone, lat) to `back` (id, k, lon, lat)."""
+    steps = [f"i1 AS (SELECT id, k, zone, (y - {_SOUTH}) / {_K} AS xi, (x - 5e5) / {_K} AS eta FROM {source})"]
+    steps.append(f"i2 AS (SELECT id, k, zone, {_series(crs.BETA, 'xi', 'sin', 'cosh', '-')} AS n, {_series(crs.BETA, 'eta', 'cos', 'sinh', '-')} AS e FROM i1)")
+    steps.append("j0 AS (SELECT id, k, zone, atanh(sin(n) / cosh(e)) AS c, asin(sin(n) / cosh(e)) AS phi, degrees(atan2(sinh(e), cos(n))) AS away FROM i2)")
+    steps += [f"j{n + 1} AS (SELECT id, k, zone, c, away, atan(sinh(c + {_E} * atanh({_E} * sin(phi)))) AS phi FROM j{n})" for n in range(6)]
+    return ",\n".join([*steps, "back AS (SELECT id, k, away + zone * 6 - 183 AS lon, degrees(phi) AS lat FROM j6)"])
+
+
+def _projected(buffer: str) -> str:
+    """CTEs up to `m` (id, zone, lat, extended ends a and b, length d, base and the moved place along it)."""
+    zone = "CAST((CAST(floor((lon + 180) / 6) AS INT) % 60 + 60) % 60 + 1 AS INT)"
+    places = "(VALUES (0, -2e-3, -4e-3), (1, 2e-3, 4e-3), (2, 5e-4, 1e-3)) AS v(k, dx, dy)"
+    return f"""{with_views("transects")},
+g AS (SELECT id, rate, lat, k, lon + dx AS x, lat + dy AS y, {zone} AS zone FROM transects, {places} WHERE abs(lat) < 70),
+u1 AS (SELECT *, radians(x - (zone * 6 - 183)) AS away, atanh(sin(radians(y))) - {_E} * atanh({_E} * sin(radians(y))) AS c FROM g),
+u2 AS (SELECT *, atan2(sinh(c), cos(away)) AS xi, atanh(sin(away) / cosh(c)) AS eta FROM u1),
+u3 AS (SELECT id, rate, lat, zone, k, ({_series(crs.ALPHA, 'eta', 'cos', 'sinh', '+')}) * {_K} + 5e5 AS x, ({_series(crs.ALPHA, 'xi', 'sin', 'cosh', '+')}) * {_K} + {_SOUTH} AS y FROM u2),
+w AS (SELECT id, rate, lat, zone, {", ".join(f"max({c}) FILTER (WHERE k = {k}) AS {n}{c}" for k, n in enumerate("aer") for c in "xy")} FROM u3 GROUP BY id, rate, lat, zone),
+n AS (SELECT *, sqrt((bx - ax) * (bx - ax) + (by_ - ay) * (by_ - ay)) AS n FROM (SELECT * RENAME (ex AS bx, ey AS by_) FROM w)),
+x AS (SELECT id, rate, lat, zone, rx, ry, ax + (bx - ax) * (n - 1e4) / 2 / n AS ax, ay + (by_ - ay) * (n - 1e4) / 2 / n AS ay, bx + (ax - bx) * (n - 1e4) / 2 / n AS bx, by_ + (ay - by_) * (n - 1e4) / 2 / n AS cy FROM n),
+d AS (SELECT *, sqrt((bx - ax) * (bx - ax) + (cy - ay) * (cy - ay)) AS d FROM x),
+b AS (SELECT *, greatest(0e0, least(1e0, ((rx - ax) * (bx - ax) + (ry - ay) * (cy - ay)) / (d * d))) * d AS base FROM d),
+m AS (SELECT *, greatest(0e0, least(1e4, base + rate * 10 - {buffer})) AS moved FROM b)"""
+
+
+_ALONG = "ax + (bx - ax) * least(1e0, {0} / d) + {1} * (cy - ay) / d * s AS x, ay + (cy - ay) * least(1e0, {0} / d) - {1} * (bx - ax) / d * s AS y"
+
+
+@query(f"{_projected('5e0')}, p AS (SELECT id, 0 AS k, zone, lat, {_ALONG.format('moved', '0e0').replace(' * s', '')} FROM m),\n{_inverse('p')} SELECT id, {q('lon')} AS lon, {q('lat')} AS lat FROM back")
 def projected_point(spark, d):
     p = ops.project(_projection_input(spark, d), F.col("rate") * 10, F.lit(5.0))
     return p.select("id", r("geometry.x").alias("lon"), r("geometry.y").alias("lat"))
 
 
-@query()
+_CORNERS = f"SELECT id, k, zone, lat, {_ALONG.format('(CASE WHEN k < 2 THEN base ELSE moved END)', '5e1')} FROM m, (VALUES (0, 1), (1, -1), (2, 1), (3, -1)) AS v(k, s) WHERE moved <> base"
+
+
+@query(f"{_projected('0e0')}, p AS ({_CORNERS}),\n{_inverse('p')}, h AS (SELECT id, {q('min(lon)')} AS xmin, {q('min(lat)')} AS ymin, {q('max(lon)')} AS xmax, {q('max(lat)')} AS ymax FROM back GROUP BY id) SELECT m.id, xmin, ymin, xmax, ymax FROM m LEFT JOIN h ON h.id = m.id")
 def projected_rectangle(spark, d):
     p = ops.project(_projection_input(spark, d), F.col("rate") * 10, kind="rectangle").select("id", planar.bounds("geometry").alias("b"))
     return p.select("id", *[r(f"b.{c}").alias(c) for c in ("xmin", "ymin", "xmax", "ymax")])
