@@ -4,7 +4,7 @@ The normaliser replaces the longest prefixes in the compiled character map (a do
 and notes for each normalised byte the source byte that it comes from; pieces are then projected on original byte spans.
 Every text goes through it, whatever the model's map.  Segmentation merges the pair of best score, leftmost first, as the library does; unknown
 characters fall back to bytes.  Where no piece of the vocabulary holds a blank mark after another character, text splits
-before each run of blanks into units that merge independently; each worker keeps the ids of units that it has seen.
+before each run of blanks, and between letters and signs that follow none in any piece, into units that merge independently; each worker keeps the ids of units that it has seen.
 
 Edge cases: null and empty text have no ids; any code point is encoded (an unpaired surrogate as U+FFFD); white space is
 kept or folded as the model says.  Texts of any length are processed whole: a unit costs n log n.
@@ -18,10 +18,9 @@ import re
 import struct
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -85,13 +84,17 @@ class Model:
     escape: bool
     byte_fallback: bool
     ids: dict[str, int] = field(default_factory=dict)
-    ranks: dict[str, int] = field(default_factory=dict)
-    bytes_at: dict[int, int] = field(default_factory=dict)
-    unknown: int = 0
-    splits: bool = True
+    #: Ids of pieces, and numbers of characters that are none; ranks and pieces of pairs of these, as first << 20 | second.
+    symbols: dict[str, int] = field(default_factory=dict)
+    ranks: dict[int, int] = field(default_factory=dict)
+    merges: dict[int, int] = field(default_factory=dict)
+    sizes: list[int] = field(default_factory=list)
     #: What a piece is decoded to by itself; `loose`: pieces of bytes that make a character only with others.
     shown: list[str] = field(default_factory=list)
     loose: set[int] = field(default_factory=set)
+    bytes_at: dict[int, int] = field(default_factory=dict)
+    unknown: int = 0
+    splits: bool = True
     cut: re.Pattern = field(default_factory=lambda: re.compile(".+", re.S))
 
     @classmethod
@@ -116,16 +119,34 @@ class Model:
                 self.unknown = k
             elif kind == 6:
                 self.bytes_at[int(p[3:5], 16)] = k
+        chars = sorted({c for p in self.ids for c in p} - self.ids.keys())
+        self.symbols = self.ids | {c: len(self.pieces) + k for k, c in enumerate(chars)}
         order = {score: r for r, score in enumerate(sorted({self.scores[k] for k in self.ids.values()}, reverse=True))}
-        self.ranks = {p: order[self.scores[k]] for p, k in self.ids.items()}
-        self.splits = not any(re.search(f"[^{MARK}]{MARK}", p) for p in self.ids)
-        end = "" if any("\n" in p for p in self.ids) else "\n"
-        self.cut = re.compile((end and "\n|") + f"{MARK}*[^{MARK}{end}]+|{MARK}+")
+        for p, k in self.ids.items():
+            for i in range(1, len(p)):
+                a, b = self.symbols.get(p[:i]), self.symbols.get(p[i:])
+                if a is not None and b is not None:
+                    self.ranks[a << 20 | b], self.merges[a << 20 | b] = order[self.scores[k]], k
+        self.sizes = [len(p.encode()) for p in self.pieces]
         single = {k: chr(b) for b, k in self.bytes_at.items() if b < 0x80}
         self.loose = {k for b, k in self.bytes_at.items() if b >= 0x80}
         self.shown = [single.get(k, {1: p.replace(MARK, " "), 2: " ⁇ "}.get(kind, "")) for k, (p, kind) in enumerate(zip(self.pieces, self.kinds, strict=True))]
+        self.splits = not any(re.search(f"[^{MARK}]{MARK}", p) for p in self.ids)
+        end = "" if any("\n" in p for p in self.ids) else "\n"
+        signs = re.escape("".join(self.apart()))
+        run = f"[^{MARK}{end}{signs}]"
+        # between them numbers that are no decimal digits count as signs
+        odd = "".join(sorted({c for p in self.ids for c in p if c.isalnum() and not c.isalpha() and not c.isdecimal()}))
+        runs = f"[{signs}]*{run}+(?:(?<![^\\W_{odd}])[{signs}]+{run}*)*|[{signs}]+" if signs else f"{run}+"
+        self.cut = re.compile((end and "\n|") + f"{MARK}*(?:{runs})|{MARK}+")
         return self
 
+    def apart(self) -> list[str]:
+        """Signs that follow a letter or digit in no piece: between these two nothing is merged."""
+        pairs = {p[k : k + 2] for p in self.ids for k in range(len(p) - 1)}
+        joined = {b for a, b in pairs if a.isalpha() or a.isdecimal()}
+        return [c for c in map(chr, range(33, 127)) if not c.isalnum() and c not in joined]
+
     # normalisation
 
     def normalise(self, text: str) -> tuple[bytes, np.ndarray]:
@@ -185,8 +206,6 @@ class Model:
         n = len(s)
         if n < 2:
             return s
-        if n <= 48:
-            return self._merge_short(s)
         left, right = list(range(-1, n - 1)), [*range(1, n), -1]
         ids, scores, heap = self.ids, self.scores, []
 
@@ -212,24 +231,31 @@ class Model:
                 push(a, right[a])
         return [x for x in s if x is not None]
 
-    def _merge_short(self, s: list[str]) -> list[str]:
-        """The same for few symbols: ranks of neighbouring pairs in a list, whose least entry is found by scanning."""
-        rank, none = self.ranks.get, 1 << 30
-        pairs = [rank(a + b, none) for a, b in zip(s, s[1:])]
+    def _merge_short(self, unit: str) -> list[tuple[int, int]]:
+        """unit_ids() of few symbols: ranks of neighbouring pairs in a list, whose least entry is found by scanning."""
+        number, rank, none = self.symbols.get, self.ranks.get, 1 << 30
+        s = [number(c, -1) for c in unit]
+        where = [*range(len(s))]
+        pairs = [rank(a << 20 | b, none) for a, b in zip(s, s[1:])]
         while pairs and (least := min(pairs)) < none:
             k = pairs.index(least)
-            s[k : k + 2] = [s[k] + s[k + 1]]
-            del pairs[k]
+            new = s[k] = self.merges[s[k] << 20 | s.pop(k + 1)]
+            del pairs[k], where[k + 1]
             if k:
-                pairs[k - 1] = rank(s[k - 1] + s[k], none)
+                pairs[k - 1] = rank(s[k - 1] << 20 | new, none)
             if k < len(pairs):
-                pairs[k] = rank(s[k] + s[k + 1], none)
-        return s
+                pairs[k] = rank(new << 20 | s[k + 1], none)
+        if max(s) < len(self.pieces) and min(s) >= 0:
+            return [(k, self.sizes[k]) for k in s]
+        return self._pieced([unit[a:b] for a, b in zip(where, [*where[1:], len(unit)])])
 
     def unit_ids(self, unit: str) -> list[tuple[int, int]]:
         """(id, bytes covered) of a unit."""
+        return self._merge_short(unit) if 0 < len(unit) <= 48 else self._pieced(self.merge(unit))
+
+    def _pieced(self, parts: list[str]) -> list[tuple[int, int]]:
         out: list[tuple[int, int]] = []
-        for p in self.merge(unit):
+        for p in parts:
             k = self.ids.get(p)
             raw = p.encode()
             if k is not None:
@@ -253,16 +279,12 @@ class Model:
         ends = source[np.cumsum([0, *[size for _, size in found]])].tolist()
         return [(k, a, b) for (k, _), a, b in zip(found, ends, ends[1:])]
 
-    def decode(self, ids: list[int]) -> str:
-        """Text of ids: marks are blanks, the blank put first is taken off, byte pieces are read as UTF-8."""
-        if self.loose.isdisjoint(ids) and ids and self.kinds[ids[0]] == 1:
-            out = "".join([self.shown[k] for k in ids])
-            if (self.dummy_prefix or self.fold_spaces) and out.startswith(" "):
-                out = out.lstrip(" ") if self.fold_spaces else out[1:]
-            return out
+    def decode(self, ids: Sequence[int], started: bool = False) -> str:
+        """Text of ids: marks are blanks, the blank put first is taken off (unless it has started before), byte pieces are read as UTF-8."""
+        if started and self.loose.isdisjoint(ids):
+            return "".join([self.shown[k] for k in ids])
         out: list[str] = []
         pending = bytearray()
-        started = False
 
         def flush() -> None:
             nonlocal started
@@ -316,16 +338,16 @@ class Encoder:
     #: Longer units are not kept.
     KEPT = 64
 
-    def __init__(self, model: Model, most: int = 300_000) -> None:
+    def __init__(self, model: Model, most: int = 450_000) -> None:
         self.model, self.most, self.young, self.old = model, most, {}, {}
 
-    def _unit(self, unit: str) -> tuple[tuple[int, ...], bytes, bytes]:
-        """Ids of a unit, ",id" of each, and the bytes that each covers as unsigned 32-bit numbers."""
+    def _unit(self, unit: str) -> tuple[bytes, bytes, str]:
+        """",id" of each piece of a unit, the bytes that each covers as unsigned 32-bit numbers, and the text that the ids decode to after others."""
         found = self.old.get(unit)
         if found is None:
             pieces = self.model.unit_ids(unit)
-            ids = tuple([k for k, _ in pieces])
-            found = ids, b"".join([b",%d" % k for k in ids]), array("I", [n for _, n in pieces]).tobytes()
+            ids = [k for k, _ in pieces]
+            found = b"".join([b",%d" % k for k in ids]), array("I", [n for _, n in pieces]).tobytes(), self.model.decode(ids, started=True)
         if len(unit) <= self.KEPT:
             if len(self.young) >= self.most:
                 self.old, self.young = self.young, {}
@@ -333,14 +355,20 @@ class Encoder:
         return found
 
     def run(self, text: str | None) -> tuple[int, str, str, int]:
-        """(number of ids, SHA-256 of their list, SHA-256 of the text they decode to, CRC-32 of the source bytes where pieces end, as unsigned 32-bit numbers)."""
+        """(number of ids, SHA-256 of their list, SHA-256 of the text they decode to, CRC-32 of the source bytes where pieces end, as unsigned 32-bit numbers).
+
+        Pieces of bytes that make one character are of one unit, so the decoded text is that of the units one after another, but for a blank put first.
+        """
         norm, source = self.model.normalise(text or "")
         units, unit = self.model.units(norm.decode("utf-8", "replace")) if norm else [], self._unit
         found = [g or unit(u) for g, u in zip(map(self.young.get, units), units)]
-        ids = list(chain.from_iterable([f[0] for f in found]))
-        listed = b"".join([f[1] for f in found])[1:]
-        ends = source[np.cumsum(np.frombuffer(b"".join([f[2] for f in found]), "<u4"))].astype("<u4")
-        return len(ids), hashlib.sha256(listed).hexdigest(), hashlib.sha256(self.model.decode(ids).encode()).hexdigest(), zlib.crc32(ends.tobytes())
+        listed, covers, shown = (list(x) for x in zip(*found)) if found else ([], [], [])
+        if shown:
+            ids = listed[0].decode().split(",")[1:]
+            shown[0] = self.model.decode([int(k) for k in ids])
+        sizes = np.frombuffer(b"".join(covers), "<u4")
+        ends = source[np.cumsum(sizes)].astype("<u4")
+        return len(sizes), hashlib.sha256(b"".join(listed)[1:]).hexdigest(), hashlib.sha256("".join(shown).encode()).hexdigest(), zlib.crc32(ends.tobytes())
 
 
 @lru_cache(2)
