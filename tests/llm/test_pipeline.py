@@ -1,6 +1,4 @@
 import corpus_pipeline
-from pyspark.sql import functions as F
-
 from tidemark.llm import queries
 
 
@@ -29,11 +27,24 @@ def test_clean_documents_stay(spark, table, words):
     assert {k: got[k] for k in range(30)} == {k: words(120, k) for k in range(30)}
 
 
-def test_empty_and_odd_tables(spark, table, tmp_path):
-    for k, docs in enumerate((table([]), table([None, "", "same words here", "same words here", (None, None)]))):
+def test_planted_passages_go_and_clean_documents_stay(spark, table, words):
+    passage = words(51, 99)
+    texts = [words(120, k) for k in range(20)] + [f"{words(60, 100 + k)} {passage} {words(60, 200 + k)}" for k in range(6)]
+    rest = corpus_pipeline.STAGES[3][1](spark, table(texts, extra=True), "")
+    got = {r["doc_id"]: r["text"] for r in rest.collect()}
+    assert {k: got[k] for k in range(20)} == dict(enumerate(texts[:20]))
+    assert all(got[20 + k] == f"{words(60, 100 + k)}  {words(60, 200 + k)}" for k in range(6))
+
+
+def test_empty_and_odd_tables(spark, table, words, tmp_path):
+    """No document: no piece.  Texts without a letter are rejected; of equal lines the first stays, so a copy is left empty and goes as a near-duplicate of an empty text."""
+    prose = words(80, 1)
+    for k, (docs, ids) in enumerate(((table([]), set()), (table([None, "", "12 34"]), set()), (table([None, (1, prose), (2, prose), (1, prose), (4, prose + " x"), (None, prose)], extra=True), None))):
         d = str(tmp_path / str(k))
         docs.write.parquet(f"{d}/documents.parquet")
-        assert corpus_pipeline.run(spark, d).select(F.count("*")).first()[0] >= 0
+        rows = corpus_pipeline.run(spark, d).collect()
+        found = {r["doc_id"] for r in rows}
+        assert found == ids if ids is not None else 1 <= sum(r["length"] > 1 for r in rows) <= 2
 
 
 def test_one_query_for_each_operator():

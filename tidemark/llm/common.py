@@ -28,6 +28,8 @@ def shared_dir(spark: SparkSession) -> str:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         if held.isDefined():
             return held.get()
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="tidemark-")
         spark.sparkContext.setCheckpointDir(found)
         return spark.sparkContext._jsc.sc().getCheckpointDir().get()

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import stored
+from tidemark.llm.common import forget, stored
 
 
 def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -49,9 +49,11 @@ def connected(edges: DataFrame, rounds: int = 60) -> DataFrame:
         least = stored(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         large = stored(large, "large")
+        forget(least)
         least = stored(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = stored(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        held, e = e, stored(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        forget(held), forget(large), forget(least)
     else:
         raise RuntimeError(f"components are not settled after {rounds} rounds")
     return e.select(F.col("u").alias("node"), F.col("v").alias("component"))

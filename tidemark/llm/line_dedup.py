@@ -30,13 +30,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from tidemark.llm.common import release, small_batches, stored, tidy
+from tidemark.llm.common import release, small, small_batches, stored, tidy
 from tidemark.llm.components import connected
 
 TAU, MIN_CHARS, NEAR_CHARS = 2, 1, 20
 _TRIM = " \t\x0b\x0c\r"
-#: Rows up to which a small side is broadcast; a larger one is joined by shuffling.
-BROADCAST_ROWS = 400_000
 #: Lines that a task remembers as already cut.
 REMEMBERED = 1_000_000
 
@@ -249,11 +247,6 @@ def _hashes() -> tuple[Column, Column]:
     return F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2")
 
 
-def _small(df: DataFrame, rows: int | None = None) -> DataFrame:
-    rows = df.count() if rows is None else rows
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
-
-
 def line_links(docs: DataFrame, tau: int = TAU, min_chars: int = NEAR_CHARS, block: int = 512) -> tuple[DataFrame, DataFrame]:
     """Edges (a, b) between hashes of different lines that connect what links within tau connect, and the lines' (h1, h2)."""
     small_batches(docs.sparkSession)
@@ -261,13 +254,13 @@ def line_links(docs: DataFrame, tau: int = TAU, min_chars: int = NEAR_CHARS, blo
     near = stored(keys.repartition("key").sortWithinPartitions("key").mapInArrow(tidy(_candidates), "key long, h1 long, indexed boolean").distinct(), "lines-candidates")
     ids = stored(near.select("h1").distinct(), "lines-ids")
     lines = _lines(docs).where(F.length("line") >= min_chars).select(*_hashes(), "line")
-    text = stored(lines.join(_small(ids), "h1", "left_semi").distinct(), "lines-texts")
+    text = stored(lines.join(small(ids, 8), "h1", "left_semi").distinct(), "lines-texts")
     large = stored(near.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block), "lines-large")
     rows = near.join(text.select("h1", "line"), "h1")
     blocks = F.ceil(F.col("n") / block).cast("long")
     own = F.pmod("h1", blocks)
     cells = F.when(F.col("n").isNull(), F.array(F.lit(0).cast("long"))).otherwise(F.transform(F.sequence(F.lit(0).cast("long"), blocks - 1), lambda j: F.least(own, j) * (1 << 20) + F.greatest(own, j)))
-    rows = rows.join(_small(large), "key", "left").select("key", F.explode(cells).alias("cell"), "h1", "indexed", "line")
+    rows = rows.join(small(large, 16), "key", "left").select("key", F.explode(cells).alias("cell"), "h1", "indexed", "line")
     edges = rows.repartition("key", "cell").sortWithinPartitions("key", "cell").mapInArrow(tidy(_verify(tau)), "a long, b long")
     return edges, text.select("h1", "h2")
 
@@ -280,7 +273,7 @@ def line_classes(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS, ne
     named = stored(known.join(named, "h1"), "lines-classes")
     occurs = _lines(docs).where(F.length("line") >= min_chars).select("doc_id", "uid", "pos", *_hashes())
     # A line linked to others goes by its class, another by both its hashes.
-    occurs = occurs.join(_small(named), ["h1", "h2"], "left").select("doc_id", "uid", "pos", F.coalesce("component", "h1").alias("class_id"), F.when(F.col("component").isNull(), F.col("h2")).otherwise(F.lit(0)).alias("k2"))
+    occurs = occurs.join(small(named, 24), ["h1", "h2"], "left").select("doc_id", "uid", "pos", F.coalesce("component", "h1").alias("class_id"), F.when(F.col("component").isNull(), F.col("h2")).otherwise(F.lit(0)).alias("k2"))
     occurs = stored(occurs, "lines-occurrences")
     place = F.struct("doc_id", "uid", "pos")
     # Equal rows are one document, so places are counted as first and last.
@@ -296,7 +289,8 @@ def dedup(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS) -> DataFr
     per = classes.groupBy("doc_id", "uid").agg(F.array_sort(F.collect_set(F.struct("pos", "class_id", "kept"))).alias("line_classes"))
     rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("uid"))
     per = per.withColumnRenamed("doc_id", "per_id").withColumnRenamed("uid", "per_uid")
-    joined = rows.join(_small(per, classes.count() // 4), F.col("doc_id").eqNullSafe(F.col("per_id")) & (F.col("uid") == F.col("per_uid")), "left")
+    # the arrays hold a row of classes each
+    joined = rows.join(small(per, 24, classes.count()), F.col("doc_id").eqNullSafe(F.col("per_id")) & (F.col("uid") == F.col("per_uid")), "left")
     drop = F.transform(F.filter("line_classes", lambda c: ~c["kept"]), lambda c: c["pos"])
     some = F.coalesce(F.size(drop) > 0, F.lit(False))
     text = F.when(some, without_lines(F.col("row.text"), drop)).otherwise(F.col("row.text"))
