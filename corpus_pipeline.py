@@ -1,4 +1,11 @@
-"""The corpus pipeline: language ID, line dedup, SimHash near-dedup, suffix dedup, packing."""
+"""The corpus pipeline: language ID, line dedup, SimHash near-dedup, suffix dedup, packing.
+
+Edge cases: texts that are null or have no letter are rejected by the first stage; a text that later stages leave empty
+stays a document, and empty ones are near-duplicates of each other; repeated rows are one document to the line stage,
+and one of them passes the near-duplicate stage; a null doc_id is kept like any other; ties go to the smallest doc_id;
+very long texts are whole in every stage; columns beyond those of documents pass through, whatever their names, up to
+the last stage; an empty table gives no piece.
+"""
 
 from __future__ import annotations
 
