@@ -115,3 +115,10 @@ def regular_buffer(p: Column, radius: float, quarter: int = 16) -> Column:
     """Ring of a circle about a point, with that many segments to a quarter; in a plane, so points are taken to one before."""
     turn = 3.141592653589793 / 2 / quarter
     return F.transform(F.sequence(F.lit(0), F.lit(4 * quarter)), lambda k: point(p["x"] + radius * F.cos((k % (4 * quarter)) * turn), p["y"] - radius * F.sin((k % (4 * quarter)) * turn)))
+
+
+def split_box(xmin: Column, xmax: Column) -> Column:
+    """array<struct<xmin, xmax>> of a box's longitudes, which may run past -180 or 180: what lies within, then what comes in on the other side."""
+    part = lambda a, b: F.struct(a.cast("double").alias("xmin"), b.cast("double").alias("xmax"))
+    inside = part(F.greatest(xmin, F.lit(-180.0)), F.least(xmax, F.lit(180.0)))
+    return F.when(xmin < -180, F.array(inside, part(xmin + 360, F.lit(180.0)))).when(xmax > 180, F.array(inside, part(F.lit(-180.0), xmax - 360))).otherwise(F.array(inside))

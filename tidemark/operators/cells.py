@@ -80,3 +80,16 @@ def is_rotated(a: Column, b: Column, d: Column, e: Column) -> Column:
     """Whether an affine transform turns by other than right angles: neither its diagonal nor the other one is zero."""
     zero = lambda x: F.abs(x) < 1e-12
     return ~((zero(b) & zero(d)) | (zero(a) & zero(e)))
+
+
+def with_static_time(df: DataFrame, start: str, end: str, time: str = "time") -> DataFrame:
+    """A raster without time with one step, from start to end; one that has several steps is an error."""
+    if time in df.columns and df.select(time).distinct().limit(2).count() > 1:
+        raise ValueError("the raster has more than one time step")
+    return df.withColumns({time: F.to_timestamp_ntz(F.lit(start)), f"end_{time}": F.to_timestamp_ntz(F.lit(end))})
+
+
+def as_byte(band: ColumnOrName, low: float, high: float) -> Column:
+    """0 to 255 between two bounds, halves upwards; NULL for what is missing."""
+    share = (col(band) - low) / (high - low)
+    return F.when(~nodata_mask(band), F.floor(F.greatest(F.lit(0.0), F.least(F.lit(1.0), share)) * 255 + 0.5).cast("int"))

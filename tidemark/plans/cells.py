@@ -134,3 +134,23 @@ def rotated_bounds(spark, d):
     n = fx.table(spark, d, "nation").select(F.col("n_nationkey").alias("id"), F.cos(k).alias("a"), (-F.sin(k)).alias("b"), F.sin(k).alias("d"), F.cos(k).alias("e"))
     box = C.affine_bounds(F.col("a"), F.col("b"), F.lit(0.0), F.col("d"), F.col("e"), F.lit(0.0), 6.0, 4.0)
     return n.withColumn("box", box).select("id", r(F.col("box.xmax") - F.col("box.xmin")).alias("width"), C.is_rotated(F.col("a"), F.col("b"), F.col("d"), F.col("e")).alias("rotated"))
+
+
+@query(f"{_P} SELECT cube_id, y, x, {q('CASE WHEN SCL = 3 THEN 0e0 ELSE deltadtm END')} AS z FROM pixels")
+def terrain_without_gaps(spark, d):
+    """Heights with zero for what is nodata, as the terrain product is made ready."""
+    z = F.when(F.col("SCL") == 3, -9999.0).otherwise(F.col("deltadtm"))
+    return fx.pixels(spark, d).select("cube_id", "y", "x", r(F.when(R.nodata_mask(z, -9999.0), 0.0).otherwise(z)).alias("z"))
+
+
+@query(f"{_P} SELECT DISTINCT cube_id, TIMESTAMP '2020-01-01' AS time, TIMESTAMP '2020-12-31' AS end_time FROM pixels")
+def static_times(spark, d):
+    """A cube without time gets one step; a cube with more is an error."""
+    c = C.with_static_time(fx.pixels(spark, d), "2020-01-01", "2020-12-31")
+    return c.select("cube_id", "time", "end_time").distinct()
+
+
+@query(f"{_P} SELECT cube_id, y, x, {', '.join(f'CAST(floor(255 * greatest(0e0, least(1e0, {b} / 15e-1)) + 5e-1) AS INT) AS {b}' for b in ('red', 'green', 'blue'))} FROM pixels")
+def rgb_preview(spark, d):
+    """Bands as bytes between a lower and an upper bound."""
+    return fx.pixels(spark, d).select("cube_id", "y", "x", *[C.as_byte(b, 0.0, 1.5).alias(b) for b in ("red", "green", "blue")])

@@ -58,3 +58,32 @@ def hotspots(spark, d):
 @query(f"{with_views('transects')} SELECT country, to_json(list_sort(list(DISTINCT shore_type))) AS shore_types, count(DISTINCT coastal_type) AS n_types FROM transects GROUP BY country")
 def attribute_lists(spark, d):
     return fx.transects(spark, d).groupBy("country").agg(F.to_json(F.array_sort(F.collect_set("shore_type"))).alias("shore_types"), F.count_distinct("coastal_type").alias("n_types"))
+
+
+@query(
+    f"""{_G}, f AS (SELECT grid_id, ymin, ymax, unnest(mgrs_tiles) AS tile FROM grid WHERE list_has_any(continents, ['EU', 'AS', 'NA']))
+SELECT tile AS mgrs_tile, {q('min(ymin)')} AS ymin, {q('max(ymax)')} AS ymax, count(*) AS n, CAST((CASE WHEN substr(tile, 3, 1) >= 'N' THEN 32600 ELSE 32700 END) + CAST(substr(tile, 1, 2) AS INT) AS INT) AS utm_epsg FROM f GROUP BY tile"""
+)
+def mgrs_grid(spark, d):
+    """Grid cells filtered, dealt to tiles and taken together by tile, with the zone's EPSG code."""
+    g = G.by_mgrs_tile(G.filter_by_admins(fx.grid(spark, d), include_continents=["EU", "AS", "NA"])).where("mgrs_tile is not null")
+    return g.groupBy("mgrs_tile").agg(r(F.min("ymin")).alias("ymin"), r(F.max("ymax")).alias("ymax"), F.count(F.lit(1)).alias("n"), F.min("utm_epsg").cast("int").alias("utm_epsg"))
+
+
+@query(
+    """WITH areas AS (SELECT s_suppkey AS area_id, (s_suppkey * 71) % 3500 / 1e1 - 18e1 AS xmin, (s_suppkey * 29) % 1500 / 1e1 - 8e1 AS ymin, (s_suppkey * 71) % 3500 / 1e1 - 18e1 + 6 AS xmax, (s_suppkey * 29) % 1500 / 1e1 - 8e1 + 4 AS ymax FROM supplier WHERE s_suppkey % 13 <> 0),
+tiles AS (SELECT 'z4x' || x || 'y' || y AS name, x / 16e0 * 36e1 - 18e1 AS x0, (x + 1) / 16e0 * 36e1 - 18e1 AS x1, degrees(atan(sinh(pi() * (1 - 2 * y / 16e0)))) AS y1, degrees(atan(sinh(pi() * (1 - 2 * (y + 1) / 16e0)))) AS y0 FROM range(16) AS a(x), range(16) AS b(y))
+SELECT name, count(*) AS n, CAST((CASE WHEN y0 + y1 >= 0 THEN 32600 ELSE 32700 END) + CAST(floor(((x0 + x1) / 2 + 180) / 6) AS INT) % 60 + 1 AS INT) AS utm_epsg
+FROM tiles JOIN areas ON x0 <= xmax AND xmin <= x1 AND y0 <= ymax AND ymin <= y1 GROUP BY name, x0, x1, y0, y1"""
+)
+def coastal_grid_build(spark, d):
+    """Tiles that a coastal zone touches, with the number of its areas and the UTM zone of their middle."""
+    from tidemark.functions import crs
+    from tidemark.functions import tiles as tl
+    from tidemark.operators import joins as J
+    from tidemark.plans.joins import _areas
+
+    tiles = tl.all_tiles(spark, 4).select("name", "xmin", "ymin", "xmax", "ymax")
+    hit = J.box_join(_areas(spark, d).where("xmin is not null"), tiles, "area_id", "name", 10.0)
+    hit = hit.groupBy("name").agg(F.count(F.lit(1)).alias("n"), *[F.min(f"b_{c}").alias(c) for c in ("xmin", "ymin", "xmax", "ymax")])
+    return hit.select("name", "n", crs.utm_epsg((F.col("xmin") + F.col("xmax")) / 2, (F.col("ymin") + F.col("ymax")) / 2).cast("int").alias("utm_epsg"))

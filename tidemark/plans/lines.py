@@ -206,3 +206,21 @@ def ring_measures(spark, d):
     t = fx.table(spark, d, "supplier").select(k.alias("k"), planar.box_ring(x, y, x + w, y + h).alias("ring"))
     t = t.withColumn("c", planar.centroid("ring"))
     return t.select("k", r("c.x").alias("x"), r("c.y").alias("y"), r(planar.area("ring")).alias("area"), r(planar.length("ring")).alias("perimeter"))
+
+
+@query(
+    f"""{_T}, k AS (SELECT id, {_X} AS x, {_Y} AS y FROM transects) SELECT id, array_to_string(list_transform(range({_Z - 1}, -1, -1), lambda k: CAST(((x >> k) & 1) + 2 * ((y >> k) & 1) AS VARCHAR)), '') AS quadkey FROM k"""
+)
+def geojson_quadkey(spark, d):
+    """The quadkey of the deepest tile, down to a zoom, that holds a GeoJSON point."""
+    g = F.to_json(F.struct(F.lit("Point").alias("type"), F.array("lon", "lat").alias("coordinates")))
+    b = fx.transects(spark, d).select("id", lines.geojson_bbox(g).alias("b"))
+    return b.select("id", tl.bounding_quadkey(F.col("b")[0], F.col("b")[1], F.col("b")[2], F.col("b")[3], _Z).alias("quadkey"))
+
+
+@query(f"{_T}, w AS (SELECT id, lon - 5e0 AS a, lon + 5e0 AS b FROM transects) SELECT id, CAST(k AS INT) AS k, {q('CASE WHEN k = 0 THEN greatest(a, -18e1) WHEN a < -18e1 THEN a + 36e1 ELSE -18e1 END')} AS xmin, {q('CASE WHEN k = 0 THEN least(b, 18e1) WHEN a < -18e1 THEN 18e1 ELSE b - 36e1 END')} AS xmax FROM w, unnest(range(CASE WHEN a < -18e1 OR b > 18e1 THEN 2 ELSE 1 END)) AS u(k)")
+def antimeridian_boxes(spark, d):
+    """Boxes that reach over the antimeridian as two."""
+    b = lines.split_box(F.col("lon") - 5.0, F.col("lon") + 5.0)
+    t = fx.transects(spark, d).select("id", F.posexplode(b).alias("k", "b"))
+    return t.select("id", "k", r("b.xmin").alias("xmin"), r("b.xmax").alias("xmax"))

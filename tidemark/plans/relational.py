@@ -255,3 +255,28 @@ def worklog_from_storage(spark, d):
     found = L.from_files(e, r"out/(\\d+)_(B\\d)\\.tif".replace("\\\\", "\\"))
     log = L.create(fx.table(spark, d, "customer").select(F.col("c_custkey").alias("id")))
     return L.update_from_files(log, found, ["B0", "B1", "B2"]).select("id", F.array_join("bands", ",").alias("bands"), "status")
+
+
+@query("SELECT c_custkey FROM customer ORDER BY md5(c_custkey || 's7'), c_custkey LIMIT 20")
+def seeded_sample(spark, d):
+    """Twenty rows drawn by a hash with a seed: the limit is what is asked for."""
+    return fx.table(spark, d, "customer").select("c_custkey").orderBy(F.md5(F.concat(F.col("c_custkey").cast("string"), F.lit("s7"))), "c_custkey").limit(20)
+
+
+@query(f"{with_views('stac_items')} SELECT tile, count(*) AS n, min(id) AS first FROM stac_items GROUP BY tile")
+def search_static_items(spark, d):
+    """A search by place alone, for products without dates."""
+    i = fx.stac_items(spark, d).withColumns({"xmin": F.col("tile") * 10.0, "ymin": F.lit(0.0), "xmax": F.col("tile") * 10.0 + 5, "ymax": F.lit(5.0)})
+    return scan.search_items(i, (-180.0, -90.0, 180.0, 90.0)).groupBy("tile").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first"))
+
+
+@query(f"{_T}, {'g AS (SELECT country, lon - avg(lon) OVER (PARTITION BY country) AS away, id FROM transects)'} SELECT id, {q('away')} AS away FROM g")
+def apply_per_group(spark, d):
+    """A function over whole groups, in Arrow batches; groups are countries, a fixed number of them."""
+    import pandas as pd
+
+    def centred(g: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"id": g["id"], "away": g["lon"] - g["lon"].mean()})
+
+    t = fx.transects(spark, d).select("country", "id", "lon")
+    return t.groupBy("country").applyInPandas(centred, "id long, away double").select("id", r("away").alias("away"))
