@@ -86,7 +86,7 @@ def zero_padded_ids(ids: ColumnOrName, widths: tuple[Column, Column, Column]) ->
 
 
 def is_date(text: ColumnOrName) -> Column:
-    """Whether a text is a day of the calendar, written yyyy-mm-dd."""
+    """Whether a text is a day of the calendar, written yyyy-mm-dd; NULL is none."""
     t = col(text)
     return t.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$") & F.try_to_date(t, "yyyy-MM-dd").isNotNull()
 
