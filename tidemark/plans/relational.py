@@ -270,7 +270,7 @@ def search_static_items(spark, d):
     return scan.search_items(i, (-180.0, -90.0, 180.0, 90.0)).groupBy("tile").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first"))
 
 
-@query(f"{_T}, {'g AS (SELECT country, lon - avg(lon) OVER (PARTITION BY country) AS away, id FROM transects)'} SELECT id, {q('away')} AS away FROM g")
+@query(f"{_T}, {'g AS (SELECT country, lon - avg(lon) OVER (PARTITION BY country) AS away, id FROM transects)'} SELECT id, {q('away', 4)} AS away FROM g")
 def apply_per_group(spark, d):
     """A function over whole groups, in Arrow batches; groups are countries, a fixed number of them."""
     import pandas as pd
@@ -279,4 +279,4 @@ def apply_per_group(spark, d):
         return pd.DataFrame({"id": g["id"], "away": g["lon"] - g["lon"].mean()})
 
     t = fx.transects(spark, d).select("country", "id", "lon")
-    return t.groupBy("country").applyInPandas(centred, "id long, away double").select("id", r("away").alias("away"))
+    return t.groupBy("country").applyInPandas(centred, "id long, away double").select("id", r("away", 4).alias("away"))
