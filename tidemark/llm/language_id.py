@@ -29,13 +29,25 @@ from pyspark.sql.window import Window
 from tidemark.llm.common import held_out, small_batches, tidy
 
 DIM, FULL = 4096, 400
-#: Everything but letters; numbers that are no decimal digits (fractions, Roman and circled numbers) are word characters to `re`.
-_OTHER = re.compile(r"[\W\d_%s]+" % "".join(c for c in map(chr, range(0x110000)) if c.isnumeric() and not c.isalpha() and not c.isdecimal()))
+_OTHER, _BLANKS = re.compile(r"[\W\d_]+"), re.compile("  +")
+#: Numbers that are no decimal digits (fractions, Roman and circled numbers) are word characters to `re`.  Those of the basic plane make a set that is quick to search, without the others.
+_NUMBERS = [c for c in map(chr, range(0x110000)) if c.isnumeric() and not c.isalpha() and not c.isdecimal()]
+_NEAR, _ALL, _FAR = re.compile("[%s]" % "".join(c for c in _NUMBERS if c <= "\uffff")), re.compile("[%s]" % "".join(_NUMBERS)), re.compile("[\U00010000-\U0010ffff]")
+
+
+def letters(text: str) -> str:
+    """The lower-cased text with one blank for everything between letters."""
+    t = _OTHER.sub(" ", text.lower())
+    if not t.isascii():
+        odd = _ALL if _FAR.search(t) else _NEAR
+        if odd.search(t):
+            t = _BLANKS.sub(" ", odd.sub(" ", t))
+    return t.strip()
 
 
 def counts(text: str | None) -> np.ndarray | None:
     """Hashed n-gram counts of a whole text; None if it has no letter."""
-    t = _OTHER.sub(" ", (text or "").lower()).strip()
+    t = letters(text or "")
     if not t:
         return None
     b = np.frombuffer(f" {t} ".encode("utf-8", "replace"), np.uint8).astype(np.uint32)
