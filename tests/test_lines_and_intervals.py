@@ -77,3 +77,24 @@ def test_inputs_and_cells(spark):
     assert tuple(row) == (3, 1, None, 128, False)
     with pytest.raises(ValueError):
         cells.with_static_time(spark.createDataFrame([(1,), (2,)], "time int"), "2020-01-01", "2020-12-31")
+
+
+def mentions(df, what):
+    """How often an expression stands in the optimised plan: each mention is evaluated anew inside a lambda function."""
+    return df._jdf.queryExecution().optimizedPlan().toString().count(what)
+
+
+def test_splits_make_each_value_once(spark, one):
+    df = lines.with_measures(one.withColumn("line", line((0, 0), (3, 0), (3, 2))), "line")
+    places = F.array(*[point(F.col("id") + x, F.col("id") + y) for x, y in ((3.0, 1.0), (1.0, 0.05))])
+    split = df.withColumn("p", places).select(lines.split_at("line", "p", "along").alias("a"))
+    assert mentions(split, "array_distinct(") == 1
+    assert [vertices(x) for x in split.first()["a"]] == [[(0, 0), (1, 0)], [(1, 0), (3, 0), (3, 1)], [(3, 1), (3, 2)]]
+
+
+def test_long_rows_are_spread(spark, data):
+    from tidemark import plans
+
+    for name in ("split_by_points",):
+        plan = plans.load()[0][name](spark, data)._jdf.queryExecution().executedPlan().toString()
+        assert "REPARTITION_BY_NUM" in plan, name

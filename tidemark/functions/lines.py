@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tidemark.functions.planar import ColumnOrName, col, distance, first, interpolate, last, measures, offset_segment, point, project, segments
+from tidemark.functions.planar import ColumnOrName, bound, col, distance, first, interpolate, last, measures, offset_segment, point, project, segments
 
 Line = Column
 
@@ -13,8 +13,12 @@ Line = Column
 def part(line: ColumnOrName, start: Column, end: Column, along: ColumnOrName) -> Line:
     """What lies between two distances from the start; along: the measures of the line, a column made before."""
     line, along = col(line), col(along)
-    inner = F.filter(F.arrays_zip(line.alias("p"), along.alias("m")), lambda v: (v["m"] > start) & (v["m"] < end))
-    return F.concat(F.array(interpolate(line, start, along)), F.transform(inner, lambda v: v["p"]), F.array(interpolate(line, end, along)))
+
+    def between(s: Column) -> Column:
+        inner = F.filter(F.arrays_zip(line.alias("p"), along.alias("m")), lambda v: (v["m"] > s["start"]) & (v["m"] < s["end"]))
+        return F.concat(F.array(interpolate(line, s["start"], along)), F.transform(inner, lambda v: v["p"]), F.array(interpolate(line, s["end"], along)))
+
+    return bound(F.struct(start.alias("start"), end.alias("end")), between)
 
 
 def split_every(line: ColumnOrName, step: float, along: ColumnOrName, tolerance: float = 0.1) -> Column:
@@ -30,10 +34,13 @@ def locate(line: ColumnOrName, along: ColumnOrName, p: Column) -> Column:
 
     def nearest(x: Column) -> Column:
         a, b = x["s"]["a"], x["s"]["b"]
-        at = F.coalesce(project(a, b, p), F.lit(0.0))
-        share = F.coalesce(F.try_divide(at, distance(a, b)), F.lit(0.0))
-        foot = point(a["x"] + (b["x"] - a["x"]) * share, a["y"] + (b["y"] - a["y"]) * share)
-        return F.struct(distance(foot, p).alias("away"), (x["m"] + at).alias("at"))
+
+        def there(s: Column) -> Column:
+            foot = point(a["x"] + (b["x"] - a["x"]) * s["share"], a["y"] + (b["y"] - a["y"]) * s["share"])
+            return F.struct(bound(foot, lambda f: distance(f, p)).alias("away"), (x["m"] + s["at"]).alias("at"))
+
+        share = lambda at: F.struct(at.alias("at"), F.coalesce(F.try_divide(at, distance(a, b)), F.lit(0.0)).alias("share"))
+        return bound(bound(F.coalesce(project(a, b, p), F.lit(0.0)), share), there)
 
     return F.array_min(F.transform(steps, nearest))
 
@@ -44,7 +51,7 @@ def split_at(line: ColumnOrName, places: ColumnOrName, along: ColumnOrName, tole
     found = F.transform(col(places), lambda p: locate(line, along, p))
     at = F.transform(F.filter(found, lambda f: (f["away"] <= tolerance) & (f["at"] > tolerance) & (f["at"] < total - tolerance)), lambda f: f["at"])
     cuts = F.concat(F.array(F.lit(0.0)), F.array_sort(F.array_distinct(at)), F.array(total))
-    return F.transform(F.sequence(F.lit(1), F.size(cuts) - 1), lambda k: part(line, F.element_at(cuts, k), F.element_at(cuts, k + 1), along))
+    return bound(cuts, lambda c: F.transform(F.sequence(F.lit(1), F.size(c) - 1), lambda k: part(line, F.element_at(c, k), F.element_at(c, k + 1), along)))
 
 
 def with_measures(df, line: str, name: str = "along"):

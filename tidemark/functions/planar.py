@@ -6,6 +6,8 @@ NULL goes in, NULL comes out; a zero-length segment has no direction and gives N
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -17,6 +19,11 @@ def col(c: ColumnOrName) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is made once, by a transform over one element; written into an expression it would be made again at each mention."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def point(x: ColumnOrName, y: ColumnOrName) -> Column:
     return F.struct(col(x).cast("double").alias("x"), col(y).cast("double").alias("y"))
 
@@ -170,10 +177,17 @@ def measures(line: ColumnOrName) -> Column:
 def interpolate(line: ColumnOrName, at: Column, along: ColumnOrName | None = None) -> Column:
     """Point of the line at that distance from its start, held within the line; along: its measures, where a column has them."""
     line = col(line)
-    along = measures(line) if along is None else col(along)
+    if along is None:
+        return bound(measures(line), lambda m: interpolate(line, at, m))
+    along = col(along)
+
+    def before(held: Column) -> Column:
+        k = F.size(F.filter(F.slice(along, F.lit(1), F.greatest(F.size(line) - 1, F.lit(1))), lambda m: m <= held)) - 1
+        return F.struct(held.alias("held"), k.alias("k"))
+
+    step = lambda s: F.struct(F.get(line, s["k"]).alias("a"), F.get(line, s["k"] + 1).alias("b"), (s["held"] - F.get(along, s["k"])).alias("d"))
     held = F.greatest(F.lit(0.0), F.least(at, F.try_element_at(along, F.lit(-1))))
-    k = F.size(F.filter(F.slice(along, F.lit(1), F.greatest(F.size(line) - 1, F.lit(1))), lambda m: m <= held)) - 1
-    return shift_point(F.get(line, k), F.get(line, k + 1), held - F.get(along, k))
+    return bound(bound(bound(held, before), step), lambda s: shift_point(s["a"], s["b"], s["d"]))
 
 
 def project(a: Column, b: Column, p: Column) -> Column:

@@ -26,6 +26,11 @@ def transects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.withColumns({"xmin": lon - 0.01, "ymin": lat - 0.01, "xmax": lon + 0.01, "ymax": lat + 0.01})
 
 
+def spread(df: DataFrame, key: str = "id") -> DataFrame:
+    """df over all cores by a key, for rows that take long: a file of one row group is one task, however many rows it has."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, key)
+
+
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A footprint of 14.4 degrees for each nation."""
     n = table(spark, sf_dir, "nation")

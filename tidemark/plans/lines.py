@@ -58,7 +58,7 @@ def split_by_distance(spark, d):
 @query(f"{_BENT} SELECT id, CAST(k AS INT) AS k, {q('CASE k WHEN 0 THEN a / 2 WHEN 1 THEN a / 2 + b / 2 ELSE b / 2 END')} AS length FROM bent, unnest(range(3)) AS u(k)")
 def split_by_points(spark, d):
     """Places on either segment split; one far away, one at an end and one met twice do not."""
-    t = lines.with_measures(_bent(spark, d), "line")
+    t = lines.with_measures(fx.spread(_bent(spark, d)), "line")
     v = lambda k: F.get("line", F.lit(k))
     half = lambda a, b: point((a["x"] + b["x"]) / 2, (a["y"] + b["y"]) / 2)
     places = F.array(half(v(1), v(2)), half(v(0), v(1)), half(v(0), v(1)), v(0), point(v(0)["x"] - 9, v(0)["y"] - 9))
