@@ -35,6 +35,15 @@ def test_nearest_like_brute_force(spark):
         assert got[i] == (j if d <= 36 else None)
 
 
+def test_nearest_among_copies(spark):
+    """Copies of a place meet no row of a more than once: one join, no pairs; the smallest id wins, with its columns."""
+    a = spark.createDataFrame([(1, 0.0, 0.0), (2, 5.0, 0.0), (3, 90.0, 0.0), (4, None, 0.0)], "i long, x double, y double")
+    b = spark.range(400).select((400 - F.col("id")).alias("j"), ((F.col("id") % 2) * 2 - 1.0).alias("x"), F.lit(0.0).alias("y"), F.concat(F.lit("n"), 400 - F.col("id")).alias("name"))
+    found = joins.nearest(a, b, "i", "j", 6.0, ["name"])
+    assert sorted(tuple(r) for r in found.select("i", "j", "distance", "name").collect()) == [(1, 1, 1.0, "n1"), (2, 1, 4.0, "n1"), (3, None, None, None), (4, None, None, None)]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
+
+
 def test_counts_of_areas(spark):
     areas = spark.createDataFrame([(1, 0.0, 0.0, 1.0, 1.0), (2, 5.0, 5.0, 6.0, 6.0), (3, None, None, None, None)], "a long, xmin double, ymin double, xmax double, ymax double")
     things = spark.createDataFrame([(k, 0.5, 0.5, 0.5, 0.5) for k in range(3)], "t long, xmin double, ymin double, xmax double, ymax double")

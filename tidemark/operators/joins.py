@@ -52,16 +52,24 @@ def count_within(areas: DataFrame, things: DataFrame, area_id: str, thing_id: st
 def nearest(a: DataFrame, b: DataFrame, a_id: str, b_id: str, most: float, columns: Sequence[str] = ()) -> DataFrame:
     """a with columns of the nearest row of b within a distance of `most` (x and y are planar), its id and the distance; the smallest id wins a tie, and rows without a neighbour get NULL.
 
-    b is filed under cells of side `most`, a asks its own cell and the eight around it.
+    Of rows of b at one place only the smallest id can win, so the others go first.  The rest is filed under its cell of
+    side `most` and the eight around it, as one list for each cell: a row of a meets the list of its own cell and takes the
+    least of it, so that pairs are neither written nor sorted.  The lists are merged with a and not broadcast, as their
+    size is not known before.
     """
-    around = F.explode(F.array(*[F.struct((F.floor(F.col("x") / most) + i).alias("cx"), (F.floor(F.col("y") / most) + j).alias("cy")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
-    asks = a.select(a_id, "x", "y").withColumn("__c", around).select(a_id, F.col("x").alias("ax"), F.col("y").alias("ay"), "__c.*")
-    filed = b.select(F.col(b_id), F.col("x").alias("bx"), F.col("y").alias("by"), *columns).withColumns({"cx": F.floor(F.col("bx") / most), "cy": F.floor(F.col("by") / most)})
-    dx, dy = F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")
-    pairs = asks.join(filed, ["cx", "cy"]).withColumn("distance", F.sqrt(dx * dx + dy * dy)).where(F.col("distance") <= most)
-    # min_by keeps one row per key and task before the shuffle, unlike a row number over a window
-    best = pairs.groupBy(a_id).agg(F.min_by(F.struct(b_id, "distance", *columns), F.struct("distance", b_id)).alias("best"))
-    return a.join(best.select(a_id, "best.*"), a_id, "left")
+    places = b.where(F.col("x").isNotNull() & F.col("y").isNotNull()).groupBy("x", "y").agg(F.min_by(F.struct(b_id, *columns), b_id).alias("row"))
+    around = F.explode(F.array(*[F.struct((F.floor(F.col("x") / most) + i).alias("__cx"), (F.floor(F.col("y") / most) + j).alias("__cy")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
+    filed = places.select("x", "y", "row", around.alias("c")).groupBy("c.__cx", "c.__cy").agg(F.collect_list(F.struct("x", "y", "row")).alias("__near"))
+    asks = a.withColumns({"__cx": F.floor(F.col("x") / most), "__cy": F.floor(F.col("y") / most)})
+
+    def candidate(p: Column, k: Column) -> Column:
+        dx, dy = p["x"] - F.col("x"), p["y"] - F.col("y")
+        return F.struct(F.sqrt(dx * dx + dy * dy).alias("distance"), p["row"][b_id].alias("id"), k.alias("k"))
+
+    best = asks.join(filed.hint("merge"), ["__cx", "__cy"], "left").withColumn("__best", F.array_min(F.transform("__near", candidate)))
+    best = best.withColumn("__best", F.when(F.col("__best")["distance"] <= most, F.col("__best")))
+    row = F.get("__near", F.col("__best")["k"])["row"]
+    return best.select(*a.columns, row[b_id].alias(b_id), F.col("__best")["distance"].alias("distance"), *[row[c].alias(c) for c in columns])
 
 
 def nearest_one(points: DataFrame, x: float, y: float, k: int = 1, key: str = "id") -> DataFrame:
