@@ -3,7 +3,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.functions import lines
+from tidemark.functions import lines, planar
 from tidemark.functions.names import buffer_of, is_date, zoom_of
 from tidemark.functions.planar import point
 from tidemark.operators import cells, intervals, scan
@@ -95,6 +95,13 @@ def test_splits_make_each_value_once(spark, one):
 def test_long_rows_are_spread(spark, data):
     from tidemark import plans
 
-    for name in ("split_by_points",):
+    for name in ("split_by_points", "projected_rectangle"):
         plan = plans.load()[0][name](spark, data)._jdf.queryExecution().executedPlan().toString()
         assert "REPARTITION_BY_NUM" in plan, name
+
+
+def test_offsets_measure_a_side_once(one):
+    a, b = point(F.col("id") + 0.0, F.col("id") + 0.0), point(F.col("id") + 3.0, F.col("id") + 4.0)
+    df = one.select(planar.offset_rectangle(a, b, 5.0).alias("ring"), planar.shift_point(a, b, 10.0).alias("held"))
+    assert mentions(df, "SQRT(") <= 3
+    assert vertices(df.first()["ring"]) == [(-4, 3), (-1, 7), (7, 1), (4, -3), (-4, 3)] and tuple(df.first()["held"]) == (3, 4)

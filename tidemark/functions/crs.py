@@ -12,7 +12,7 @@ from fractions import Fraction as Q
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tidemark.functions.planar import ColumnOrName, col, point
+from tidemark.functions.planar import ColumnOrName, bound, col, point
 
 #: WGS 84 and UTM: fixed values.
 SEMI_MAJOR, FLATTENING, SCALE, FALSE_EAST, FALSE_NORTH = 6378137.0, 1 / 298.257223563, 0.9996, 500_000.0, 10_000_000.0
@@ -94,8 +94,8 @@ def utm_line(line: ColumnOrName, epsg: ColumnOrName) -> Column:
     south = F.when(F.floor(epsg / 100) == 327, F.lit(FALSE_NORTH)).otherwise(F.lit(0.0))
 
     def second(p: Column) -> Column:
-        c = F.atanh(p["s"]) - e * F.atanh(e * p["s"])
-        return F.struct(F.atan2(F.sinh(c), F.cos(p["away"])).alias("xi"), F.atanh(F.sin(p["away"]) / F.cosh(c)).alias("eta"))
+        both = lambda c: F.struct(F.atan2(F.sinh(c), F.cos(p["away"])).alias("xi"), F.atanh(F.sin(p["away"]) / F.cosh(c)).alias("eta"))
+        return bound(F.atanh(p["s"]) - e * F.atanh(e * p["s"]), both)
 
     def third(p: Column) -> Column:
         east, north = p["eta"], p["xi"]

@@ -37,8 +37,8 @@ def shift_point(a: Column, b: Column, offset: ColumnOrName | float) -> Column:
     """a moved towards b, never past it; a negative offset moves away without bound; a itself where both are equal."""
     offset = F.lit(float(offset)) if isinstance(offset, int | float) else col(offset)
     d = distance(a, b)
-    share = F.when(d == 0, F.lit(0.0)).otherwise(F.least(F.lit(1.0), F.try_divide(offset, d)))
-    return point(a["x"] + (b["x"] - a["x"]) * share, a["y"] + (b["y"] - a["y"]) * share)
+    share = bound(d, lambda n: F.when(n == 0, F.lit(0.0)).otherwise(F.least(F.lit(1.0), F.try_divide(offset, n))))
+    return bound(share, lambda s: point(a["x"] + (b["x"] - a["x"]) * s, a["y"] + (b["y"] - a["y"]) * s))
 
 
 def angle(a: Column, b: Column) -> Column:
@@ -142,15 +142,15 @@ def extend_transect(line: ColumnOrName, total: float, side: str = "both") -> Col
 def offset_segment(a: Column, b: Column, dist: Column | float) -> Column:
     """a-b moved sideways; to its left for a positive distance."""
     d = F.lit(float(dist)) if isinstance(dist, int | float) else dist
-    n = F.nullif(distance(a, b), F.lit(0.0))
-    ox, oy = -(b["y"] - a["y"]) / n * d, (b["x"] - a["x"]) / n * d
-    return F.array(point(a["x"] + ox, a["y"] + oy), point(b["x"] + ox, b["y"] + oy))
+    away = lambda n: F.struct((-(b["y"] - a["y"]) / n * d).alias("x"), ((b["x"] - a["x"]) / n * d).alias("y"))
+    moved = lambda o: F.array(point(a["x"] + o["x"], a["y"] + o["y"]), point(b["x"] + o["x"], b["y"] + o["y"]))
+    return bound(bound(F.nullif(distance(a, b), F.lit(0.0)), away), moved)
 
 
 def offset_rectangle(a: Column, b: Column, dist: Column | float) -> Column:
     """Closed ring dist to the left and right of a-b."""
-    left, right = offset_segment(a, b, dist), offset_segment(a, b, -dist)
-    return F.array(first(left), last(left), last(right), first(right), first(left))
+    sides = F.struct(offset_segment(a, b, dist).alias("left"), offset_segment(a, b, -dist).alias("right"))
+    return bound(sides, lambda s: F.array(first(s["left"]), last(s["left"]), last(s["right"]), first(s["right"]), first(s["left"])))
 
 
 def area(ring: ColumnOrName) -> Column:

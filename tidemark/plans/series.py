@@ -71,7 +71,7 @@ def _projection_input(spark, d):
     t = fx.transects(spark, d).where(F.abs("lat") < 70).withColumn("utm_epsg", crs.utm_epsg("lon", "lat"))
     near = lambda dx, dy: point(F.col("lon") + dx, F.col("lat") + dy)
     t = t.withColumns({"start": near(-0.002, -0.004), "end": near(0.002, 0.004), "reference": near(0.0005, 0.001)})
-    return t.select("id", "rate", "start", "end", "reference", "utm_epsg")
+    return fx.spread(t.select("id", "rate", "start", "end", "reference", "utm_epsg"))
 
 
 def _lit(v: float) -> str:
