@@ -1,9 +1,10 @@
 import datetime as dt
+import os
 
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.functions import lines, planar
+from tidemark.functions import lines, planar, tiles
 from tidemark.functions.names import buffer_of, is_date, zoom_of
 from tidemark.functions.planar import point
 from tidemark.operators import cells, intervals, scan
@@ -105,3 +106,14 @@ def test_offsets_measure_a_side_once(one):
     df = one.select(planar.offset_rectangle(a, b, 5.0).alias("ring"), planar.shift_point(a, b, 10.0).alias("held"))
     assert mentions(df, "SQRT(") <= 3
     assert vertices(df.first()["ring"]) == [(-4, 3), (-1, 7), (7, 1), (4, -3), (-4, 3)] and tuple(df.first()["held"]) == (3, 4)
+
+
+def test_quadkeys_make_each_tile_number_once(spark):
+    df = spark.createDataFrame([(5.1, 52.0, 1.0), (-179.9, 0.0, 5.0), (3.0, -84.9, 0.001), (12.0, 12.0, 0.0)], "lon double, lat double, w double")
+    lon, lat, w = F.col("lon"), F.col("lat"), F.col("w")
+    box = tiles.bounding_quadkey(lon - w, lat - w, lon + w, lat + w, 12)
+    got = df.select(tiles.quadkey_of("lon", "lat", 12).alias("key"), box.alias("box"), tiles.quadkey_of(lon - w, lat + w, 12).alias("a"), tiles.quadkey_of(lon + w, lat - w, 12).alias("b"), tiles.clamped(tiles.tile_x("lon", 12), 12).alias("x"), tiles.clamped(tiles.tile_y("lat", 12), 12).alias("y"))
+    for r in got.collect():
+        assert r["key"] == "".join(str((r["x"] >> k & 1) + 2 * (r["y"] >> k & 1)) for k in range(11, -1, -1))
+        assert r["box"] == os.path.commonprefix([r["a"], r["b"]])
+    assert mentions(df.select(box.alias("k")), "ASINH(") == 2

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.functions.planar import ColumnOrName, col, geojson_polygon
+from tidemark.functions.planar import ColumnOrName, bound, col, geojson_polygon
 
 
 def tile_x(lon: ColumnOrName, zoom: int) -> Column:
@@ -34,11 +34,11 @@ def corner_lat(y: Column, zoom: int) -> Column:
 
 
 def quadkey(x: Column, y: Column, zoom: int) -> Column:
-    """Digits to base four, the coarsest level first: bit of x plus twice bit of y."""
+    """Digits to base four, the coarsest level first: bit of x plus twice bit of y.  Their binary digits are read to base four, so that each is made once."""
     if not zoom:
         return F.lit("")
-    digits = [(F.shiftright(x, k).bitwiseAND(F.lit(1)) + F.shiftright(y, k).bitwiseAND(F.lit(1)) * 2).cast("string") for k in range(zoom - 1, -1, -1)]
-    return F.concat(*digits)
+    spaced = lambda t: F.conv(F.bin(t.cast("bigint").bitwiseAND(F.lit(2**zoom - 1).cast("bigint"))), 4, 10).cast("bigint")
+    return F.lpad(F.conv((spaced(x) + spaced(y) * 2).cast("string"), 10, 4), zoom, "0")
 
 
 def quadkey_of(lon: ColumnOrName, lat: ColumnOrName, zoom: int = 12) -> Column:
@@ -78,7 +78,14 @@ def common_prefix(a: Column, b: Column, most: int) -> Column:
 
 def bounding_quadkey(xmin: ColumnOrName, ymin: ColumnOrName, xmax: ColumnOrName, ymax: ColumnOrName, zoom: int = 12) -> Column:
     """Quadkey of the deepest tile, down to zoom, that holds a whole box."""
-    return common_prefix(quadkey_of(xmin, ymax, zoom), quadkey_of(xmax, ymin, zoom), zoom)
+    tile = lambda lon, lat: F.struct(clamped(tile_x(lon, zoom), zoom).alias("x"), clamped(tile_y(lat, zoom), zoom).alias("y"))
+
+    def key(s: Column) -> Column:
+        differ = s["a"]["x"].bitwiseXOR(s["b"]["x"]).bitwiseOR(s["a"]["y"].bitwiseXOR(s["b"]["y"]))
+        # the digits of 2 d + 1 are one more than those of d, and one for 0
+        return F.substring(quadkey(s["a"]["x"], s["a"]["y"], zoom), F.lit(1), zoom + 1 - F.length(F.bin(differ * 2 + 1)))
+
+    return bound(F.struct(tile(xmin, ymax).alias("a"), tile(xmax, ymin).alias("b")), key)
 
 
 def all_tiles(spark: SparkSession, zoom: int) -> DataFrame:
