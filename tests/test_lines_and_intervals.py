@@ -92,11 +92,15 @@ def test_splits_make_each_value_once(spark, one):
     assert mentions(split, "array_distinct(") == 1
     assert [vertices(x) for x in split.first()["a"]] == [[(0, 0), (1, 0)], [(1, 0), (3, 0), (3, 1)], [(3, 1), (3, 2)]]
 
+    every = df.select(lines.split_every("line", 2.0, "along").alias("a"))
+    assert mentions(every, "SQRT(") <= 3
+    assert [vertices(x) for x in every.first()["a"]] == [[(0, 0), (2, 0)], [(2, 0), (3, 0), (3, 1)], [(3, 1), (3, 2)]]
+
 
 def test_long_rows_are_spread(spark, data):
     from tidemark import plans
 
-    for name in ("split_by_points", "projected_rectangle"):
+    for name in ("split_by_points", "split_by_distance", "projected_rectangle"):
         plan = plans.load()[0][name](spark, data)._jdf.queryExecution().executedPlan().toString()
         assert "REPARTITION_BY_NUM" in plan, name
 

@@ -25,7 +25,8 @@ def split_every(line: ColumnOrName, step: float, along: ColumnOrName, tolerance:
     """array of lines of that length, the last with what is left; a rest within the tolerance stays with the piece before it."""
     total = F.try_element_at(col(along), F.lit(-1))
     n = F.greatest(F.ceil((total - tolerance) / step).cast("int"), F.lit(1))
-    return F.transform(F.sequence(F.lit(0), n - 1), lambda k: part(line, k * step, F.when(k == n - 1, total).otherwise((k + 1) * step), along))
+    piece = lambda s, k: part(line, k * step, F.when(k == s["n"] - 1, s["total"]).otherwise((k + 1) * step), along)
+    return bound(F.struct(total.alias("total"), n.alias("n")), lambda s: F.transform(F.sequence(F.lit(0), s["n"] - 1), lambda k: piece(s, k)))
 
 
 def locate(line: ColumnOrName, along: ColumnOrName, p: Column) -> Column:

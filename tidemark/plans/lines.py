@@ -51,7 +51,7 @@ def point_by_angle(spark, d):
 @query(f"{_BENT}, n AS (SELECT *, greatest(1, CAST(ceil((a + b - 1e-1) / 15e-1) AS INT)) AS n FROM bent) SELECT id, CAST(k AS INT) AS k, {q('CASE WHEN k = n - 1 THEN a + b - k * 15e-1 ELSE 15e-1 END')} AS length, {q('x0 + least(a, k * 15e-1)')} AS x, {q('y0 + greatest(0e0, k * 15e-1 - a)')} AS y FROM n, unnest(range(n)) AS u(k)")
 def split_by_distance(spark, d):
     """Pieces of a length of 1.5, each with its first vertex."""
-    t = lines.with_measures(_bent(spark, d), "line").select("id", F.posexplode(lines.split_every("line", 1.5, "along")).alias("k", "piece"))
+    t = lines.with_measures(fx.spread(_bent(spark, d)), "line").select("id", F.posexplode(lines.split_every("line", 1.5, "along")).alias("k", "piece"))
     return t.select("id", "k", r(planar.length("piece")).alias("length"), r(planar.first("piece")["x"]).alias("x"), r(planar.first("piece")["y"]).alias("y"))
 
 
