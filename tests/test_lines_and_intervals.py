@@ -100,7 +100,7 @@ def test_splits_make_each_value_once(spark, one):
 def test_long_rows_are_spread(spark, data):
     from tidemark import plans
 
-    for name in ("split_by_points", "split_by_distance", "projected_rectangle"):
+    for name in ("split_by_points", "geojson_quadkey", "split_by_distance", "projected_rectangle"):
         plan = plans.load()[0][name](spark, data)._jdf.queryExecution().executedPlan().toString()
         assert "REPARTITION_BY_NUM" in plan, name
 
@@ -121,3 +121,11 @@ def test_quadkeys_make_each_tile_number_once(spark):
         assert r["key"] == "".join(str((r["x"] >> k & 1) + 2 * (r["y"] >> k & 1)) for k in range(11, -1, -1))
         assert r["box"] == os.path.commonprefix([r["a"], r["b"]])
     assert mentions(df.select(box.alias("k")), "ASINH(") == 2
+
+
+def test_geojson_is_read_once(spark):
+    df = spark.createDataFrame([(1.0, 2.0), (3.0, -4.0)], "x double, y double")
+    text = F.to_json(F.struct(F.lit("LineString").alias("type"), F.array(F.array("x", "y"), F.array("y", "x")).alias("coordinates")))
+    boxes = df.select(lines.geojson_bbox(text).alias("b"))
+    assert mentions(boxes, "get_json_object(") == 2
+    assert [r["b"] for r in boxes.collect()] == [[1, 1, 2, 2], [-4, -4, 3, 3]]

@@ -91,9 +91,12 @@ def midpoint(line: ColumnOrName, along: ColumnOrName) -> Column:
 
 def coords_bbox(coords: ColumnOrName) -> Column:
     """[min, min, max, max] of an array of [x, y]."""
-    c = col(coords)
-    pick = lambda f, k: f(F.transform(c, lambda p: p[k]))
-    return F.array(pick(F.array_min, 0), pick(F.array_min, 1), pick(F.array_max, 0), pick(F.array_max, 1))
+
+    def edges(c: Column) -> Column:
+        pick = lambda f, k: f(F.transform(c, lambda p: p[k]))
+        return F.array(pick(F.array_min, 0), pick(F.array_min, 1), pick(F.array_max, 0), pick(F.array_max, 1))
+
+    return bound(col(coords), edges)
 
 
 #: Depth of the coordinates of a GeoJSON geometry: fixed values.
@@ -102,16 +105,20 @@ DEPTHS = {"Point": 0, "LineString": 1, "MultiPoint": 1, "Polygon": 2, "MultiLine
 
 def geojson_bbox(text: ColumnOrName) -> Column:
     """[min, min, max, max] of a GeoJSON geometry; another type is an error, unreadable text NULL."""
-    t = col(text)
-    kind = F.get_json_object(t, "$.type")
-    out = F.when(kind.isNotNull(), F.raise_error(F.concat(F.lit("no such geometry type: "), kind)).cast("array<double>"))
-    for name, depth in DEPTHS.items():
-        c = F.from_json(F.get_json_object(t, "$.coordinates"), "array<" * (depth + 1) + "double" + ">" * (depth + 1))
-        flat = F.array(c) if depth == 0 else c
-        for _ in range(depth - 1):
-            flat = F.flatten(flat)
-        out = F.when(kind == name, coords_bbox(flat)).otherwise(out)
-    return out
+
+    def box(g: Column) -> Column:
+        kind = g["kind"]
+        out = F.when(kind.isNotNull(), F.raise_error(F.concat(F.lit("no such geometry type: "), kind)).cast("array<double>"))
+        for name, depth in DEPTHS.items():
+            c = F.from_json(g["coordinates"], "array<" * (depth + 1) + "double" + ">" * (depth + 1))
+            flat = F.array(c) if depth == 0 else c
+            for _ in range(depth - 1):
+                flat = F.flatten(flat)
+            out = F.when(kind == name, coords_bbox(flat)).otherwise(out)
+        return out
+
+    parts = lambda t: F.struct(F.get_json_object(t, "$.type").alias("kind"), F.get_json_object(t, "$.coordinates").alias("coordinates"))
+    return bound(bound(col(text), parts), box)
 
 
 def antimeridian_near(lon: ColumnOrName, degrees: float) -> Column:

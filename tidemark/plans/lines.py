@@ -214,7 +214,7 @@ def ring_measures(spark, d):
 def geojson_quadkey(spark, d):
     """The quadkey of the deepest tile, down to a zoom, that holds a GeoJSON point."""
     g = F.to_json(F.struct(F.lit("Point").alias("type"), F.array("lon", "lat").alias("coordinates")))
-    b = fx.transects(spark, d).select("id", lines.geojson_bbox(g).alias("b"))
+    b = fx.spread(fx.transects(spark, d)).select("id", lines.geojson_bbox(g).alias("b"))
     return b.select("id", tl.bounding_quadkey(F.col("b")[0], F.col("b")[1], F.col("b")[2], F.col("b")[3], _Z).alias("quadkey"))
 
 
