@@ -100,7 +100,7 @@ def test_splits_make_each_value_once(spark, one):
 def test_long_rows_are_spread(spark, data):
     from tidemark import plans
 
-    for name in ("split_by_points", "geojson_quadkey", "split_by_distance", "projected_rectangle"):
+    for name in ("split_by_points", "quadkey_feature", "geojson_quadkey", "split_by_distance", "projected_rectangle"):
         plan = plans.load()[0][name](spark, data)._jdf.queryExecution().executedPlan().toString()
         assert "REPARTITION_BY_NUM" in plan, name
 
@@ -129,3 +129,9 @@ def test_geojson_is_read_once(spark):
     boxes = df.select(lines.geojson_bbox(text).alias("b"))
     assert mentions(boxes, "get_json_object(") == 2
     assert [r["b"] for r in boxes.collect()] == [[1, 1, 2, 2], [-4, -4, 3, 3]]
+
+
+def test_boxes_of_quadkeys_are_made_once(spark):
+    df = spark.createDataFrame([("213",), ("0",)], "k string").select(tiles.quadkey_geojson("k").alias("g"))
+    assert mentions(df, "SINH(") == 2
+    assert [[round(v, 3) for v in r["b"]] for r in df.select(lines.geojson_bbox("g").alias("b")).collect()] == [[-45.0, -55.777, 0.0, -40.98], [-180.0, 0.0, 0.0, 85.051]]

@@ -59,15 +59,17 @@ def tile_of_quadkey(key: ColumnOrName) -> Column:
 
 def quadkey_box(key: ColumnOrName) -> Column:
     """struct<xmin, ymin, xmax, ymax> of a quadkey."""
-    t = tile_of_quadkey(key)
-    n = F.pow(F.lit(2.0), t["zoom"])
-    lat = lambda y: F.degrees(F.atan(F.sinh(math.pi * (1 - 2 * y / n))))
-    return F.struct((t["x"] / n * 360.0 - 180.0).alias("xmin"), lat(t["y"] + 1).alias("ymin"), ((t["x"] + 1) / n * 360.0 - 180.0).alias("xmax"), lat(t["y"]).alias("ymax"))
+
+    def box(t: Column) -> Column:
+        n = F.pow(F.lit(2.0), t["zoom"])
+        lat = lambda y: F.degrees(F.atan(F.sinh(math.pi * (1 - 2 * y / n))))
+        return F.struct((t["x"] / n * 360.0 - 180.0).alias("xmin"), lat(t["y"] + 1).alias("ymin"), ((t["x"] + 1) / n * 360.0 - 180.0).alias("xmax"), lat(t["y"]).alias("ymax"))
+
+    return bound(tile_of_quadkey(key), box)
 
 
 def quadkey_geojson(key: ColumnOrName) -> Column:
-    b = quadkey_box(key)
-    return geojson_polygon(b["xmin"], b["ymin"], b["xmax"], b["ymax"])
+    return bound(quadkey_box(key), lambda b: geojson_polygon(b["xmin"], b["ymin"], b["xmax"], b["ymax"]))
 
 
 def common_prefix(a: Column, b: Column, most: int) -> Column:

@@ -176,7 +176,7 @@ def tiles_in_mercator(spark, d):
 @query(f"{_T}, t AS (SELECT id, {_X} AS x FROM transects) SELECT id, {q(f'(x + 1) / {2**_Z}e0 * 36e1 - 18e1')} AS east, {q(f'x / {2**_Z}e0 * 36e1 - 18e1')} AS west FROM t")
 def quadkey_feature(spark, d):
     """The box of a place's quadkey as a GeoJSON polygon."""
-    t = fx.transects(spark, d).select("id", tl.quadkey_geojson(tl.quadkey_of("lon", "lat", _Z)).alias("g"))
+    t = fx.spread(fx.transects(spark, d)).select("id", tl.quadkey_geojson(tl.quadkey_of("lon", "lat", _Z)).alias("g"))
     b = lines.geojson_bbox("g")
     return t.select("id", b.alias("b")).select("id", r(F.col("b")[2]).alias("east"), r(F.col("b")[0]).alias("west"))
 
