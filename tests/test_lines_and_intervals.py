@@ -100,7 +100,7 @@ def test_splits_make_each_value_once(spark, one):
 def test_long_rows_are_spread(spark, data):
     from tidemark import plans
 
-    for name in ("split_by_points", "quadkey_feature", "geojson_quadkey", "split_by_distance", "projected_rectangle"):
+    for name in ("split_by_points", "parallel_line", "quadkey_feature", "geojson_quadkey", "split_by_distance", "projected_rectangle"):
         plan = plans.load()[0][name](spark, data)._jdf.queryExecution().executedPlan().toString()
         assert "REPARTITION_BY_NUM" in plan, name
 
@@ -135,3 +135,10 @@ def test_boxes_of_quadkeys_are_made_once(spark):
     df = spark.createDataFrame([("213",), ("0",)], "k string").select(tiles.quadkey_geojson("k").alias("g"))
     assert mentions(df, "SINH(") == 2
     assert [[round(v, 3) for v in r["b"]] for r in df.select(lines.geojson_bbox("g").alias("b")).collect()] == [[-45.0, -55.777, 0.0, -40.98], [-180.0, 0.0, 0.0, 85.051]]
+
+
+def test_parallels_move_each_side_once(one):
+    df = one.withColumn("x", F.col("id") * 1.0).withColumn("line", F.array(point("x", "x"), point(F.col("x") + 2, "x"), point(F.col("x") + 2, F.col("x") + 2)))
+    moved = df.select(lines.parallel("line", 1.0).alias("l"))
+    assert mentions(moved, "SQRT(") == 1
+    assert vertices(moved.first()["l"]) == [(0, 1), (1, 1), (1, 2)]

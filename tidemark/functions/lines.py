@@ -72,12 +72,15 @@ def parallel(line: ColumnOrName, dist: float) -> Line:
         a, b, c, d = m["o"][0], m["o"][1], n["o"][0], n["o"][1]
         ux, uy, vx, vy = b["x"] - a["x"], b["y"] - a["y"], d["x"] - c["x"], d["y"] - c["y"]
         cross = ux * vy - uy * vx
-        t = F.try_divide((c["x"] - a["x"]) * vy - (c["y"] - a["y"]) * vx, F.when(F.abs(cross) > 1e-12, cross))
-        return F.coalesce(F.when(t.isNotNull(), point(a["x"] + ux * t, a["y"] + uy * t)), b)
+        t = bound(cross, lambda x: F.try_divide((c["x"] - a["x"]) * vy - (c["y"] - a["y"]) * vx, F.when(F.abs(x) > 1e-12, x)))
+        return bound(t, lambda s: F.coalesce(F.when(s.isNotNull(), point(a["x"] + ux * s, a["y"] + uy * s)), b))
 
-    n = F.greatest(F.size(moved) - 1, F.lit(0))
-    corners = F.zip_with(F.slice(moved, F.lit(1), n), F.slice(moved, F.lit(2), n), corner)
-    return F.concat(F.array(first(moved)["o"][0]), corners, F.array(last(moved)["o"][1]))
+    def joined(m: Column) -> Line:
+        n = F.greatest(F.size(m) - 1, F.lit(0))
+        corners = F.zip_with(F.slice(m, F.lit(1), n), F.slice(m, F.lit(2), n), corner)
+        return F.concat(F.array(first(m)["o"][0]), corners, F.array(last(m)["o"][1]))
+
+    return bound(moved, joined)
 
 
 def landward(line: ColumnOrName, origin: Column) -> Line:

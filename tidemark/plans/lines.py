@@ -69,7 +69,7 @@ def split_by_points(spark, d):
 @query(f"{_BENT} SELECT id, {q('x0')} AS x0, {q('y0 + 25e-2')} AS y0, {q('x1 - 25e-2')} AS x1, {q('y0 + 25e-2')} AS y1, {q('x2 - 25e-2')} AS x2, {q('y2')} AS y2 FROM bent")
 def parallel_line(spark, d):
     """A quarter to the left: both segments moved, their carriers crossed."""
-    t = _bent(spark, d).select("id", lines.parallel("line", 0.25).alias("l"))
+    t = fx.spread(_bent(spark, d)).select("id", lines.parallel("line", 0.25).alias("l"))
     return t.select("id", *[r(F.get("l", F.lit(k))[c]).alias(f"{c}{k}") for k in range(3) for c in "xy"])
 
 
