@@ -100,7 +100,7 @@ def test_splits_make_each_value_once(spark, one):
 def test_long_rows_are_spread(spark, data):
     from tidemark import plans
 
-    for name in ("split_by_points", "parallel_line", "quadkey_feature", "geojson_quadkey", "split_by_distance", "projected_rectangle"):
+    for name in ("split_by_points", "geojson_bounds", "parallel_line", "quadkey_feature", "geojson_quadkey", "split_by_distance", "projected_rectangle"):
         plan = plans.load()[0][name](spark, data)._jdf.queryExecution().executedPlan().toString()
         assert "REPARTITION_BY_NUM" in plan, name
 

@@ -97,7 +97,7 @@ def landward_side(spark, d):
 def geojson_bounds(spark, d):
     """Lines written as GeoJSON, and their bounds read from it."""
     c = F.transform("line", lambda p: F.array(p["x"], p["y"]))
-    g = _bent(spark, d).select("id", lines.geojson_bbox(F.to_json(F.struct(F.lit("LineString").alias("type"), c.alias("coordinates")))).alias("b"))
+    g = fx.spread(_bent(spark, d)).select("id", lines.geojson_bbox(F.to_json(F.struct(F.lit("LineString").alias("type"), c.alias("coordinates")))).alias("b"))
     return g.select("id", *[r(F.get("b", F.lit(k))).alias(n) for k, n in enumerate(("xmin", "ymin", "xmax", "ymax"))])
 
 
