@@ -1,10 +1,11 @@
 import datetime as dt
 import os
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.functions import lines, planar, tiles
+from tidemark.functions import lines, planar, tiles, wkb
 from tidemark.functions.names import buffer_of, is_date, zoom_of
 from tidemark.functions.planar import point
 from tidemark.operators import cells, intervals, scan
@@ -134,7 +135,7 @@ def test_geojson_is_read_once(spark):
 def test_boxes_of_quadkeys_are_made_once(spark):
     df = spark.createDataFrame([("213",), ("0",)], "k string").select(tiles.quadkey_geojson("k").alias("g"))
     assert mentions(df, "SINH(") == 2
-    assert [[round(v, 3) for v in r["b"]] for r in df.select(lines.geojson_bbox("g").alias("b")).collect()] == [[-45.0, -55.777, 0.0, -40.98], [-180.0, 0.0, 0.0, 85.051]]
+    assert [[round(v, 3) for v in r["b"]] for r in df.select(lines.geojson_bbox("g").alias("b")).collect()] == [[-45.0, -66.513, 0.0, -40.98], [-180.0, 0.0, 0.0, 85.051]]
 
 
 def test_parallels_move_each_side_once(one):
@@ -142,3 +143,19 @@ def test_parallels_move_each_side_once(one):
     moved = df.select(lines.parallel("line", 1.0).alias("l"))
     assert mentions(moved, "SQRT(") == 1
     assert vertices(moved.first()["l"]) == [(0, 1), (1, 1), (1, 2)]
+
+
+def test_clipping_takes_many_segments_at_once(spark, monkeypatch):
+    ring = [(20.0, 0.0), (40.0, 30.0), (0.0, 60.0), (-40.0, 30.0), (-20.0, 0.0), (20.0, 0.0)]
+    long = np.array([((k * 37) % 3600 / 10 - 180, (k * 53) % 1600 / 10 - 80) for k in range(20_000)])
+    singly = [p for a, b in zip(long[:-1], long[1:]) for p in wkb.clip_line(np.array([a, b]), ring)]
+    calls, inside = [], wkb.inside
+    monkeypatch.setattr(wkb, "inside", lambda *a: calls.append(1) or inside(*a))
+    parts = wkb.clip_line(long, ring)
+    assert len(calls) == 3
+    segments = np.concatenate([np.stack([p[:-1], p[1:]], 1) for p in parts])
+    assert len(parts) < len(singly) and np.array_equal(segments, np.array(singly))
+    df = spark.createDataFrame([(1.0,), (None,)], "x double").select("x", F.when(F.col("x").isNotNull(), F.array(point("x", "x"), point(F.col("x") + 1, "x"))).alias("line"))
+    made = df.select(wkb.line_wkb("line").alias("w"))
+    assert mentions(made, "flatten(") == 1  # numbers go to Python, not a dict for each vertex
+    assert [r["w"] and wkb.decode(bytes(r["w"]))[1][0].tolist() for r in made.collect()] == [[[1, 1], [2, 1]], None]
