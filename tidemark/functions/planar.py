@@ -144,7 +144,7 @@ def offset_segment(a: Column, b: Column, dist: Column | float) -> Column:
     d = F.lit(float(dist)) if isinstance(dist, int | float) else dist
     away = lambda n: F.struct((-(b["y"] - a["y"]) / n * d).alias("x"), ((b["x"] - a["x"]) / n * d).alias("y"))
     moved = lambda o: F.array(point(a["x"] + o["x"], a["y"] + o["y"]), point(b["x"] + o["x"], b["y"] + o["y"]))
-    return bound(bound(F.nullif(distance(a, b), F.lit(0.0)), away), moved)
+    return bound(bound(distance(a, b), lambda n: away(F.nullif(n, F.lit(0.0)))), moved)
 
 
 def offset_rectangle(a: Column, b: Column, dist: Column | float) -> Column:
